@@ -54,10 +54,11 @@ def ident_changes(a: DataFrame, b: DataFrame, cell: float = 0.1, limit_nm: float
 
 
 def runway_geometry(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
-    """Key of the rounded ends of a runway, the southern (then western) one first."""
+    """Key of the ends of a runway in 1/100,000 degree, the southern (then western) one first."""
     first = (lat1 < lat2) | ((lat1 == lat2) & (lon1 <= lon2))
-    f = lambda x, y: F.format_string("%.5f,%.5f", x, y)
-    return F.when(first, F.concat_ws("|", f(lat1, lon1), f(lat2, lon2))).otherwise(F.concat_ws("|", f(lat2, lon2), f(lat1, lon1)))
+    at = lambda c: F.floor(c * 100_000 + 0.5).cast("string")
+    ends = [at(c) for c in (lat1, lon1, lat2, lon2)]
+    return F.when(first, F.concat_ws(",", *ends)).otherwise(F.concat_ws(",", *ends[2:], *ends[:2]))
 
 
 def authority(values: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from airloom.plans import training
+from airloom.plans import reference, training
 
-QUERIES = {**training.QUERIES}
-SQL = {**training.SQL}
+QUERIES = {**training.QUERIES, **reference.QUERIES}
+SQL = {**training.SQL, **reference.SQL}
