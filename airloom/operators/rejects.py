@@ -31,30 +31,25 @@ def rule_table(spark: SparkSession) -> DataFrame:
 def parse(lines: DataFrame, raw: str = "raw_line") -> DataFrame:
     """Add well_formed and cells. A line end at the end does not count; a null line is an empty one."""
     text = F.regexp_replace(F.coalesce(F.col(raw), F.lit("")), r"(\r\n|\n|\r)\z", "")
-    pieces = F.split(text, '"', -1)
-    split = lines.withColumn("__p", pieces).withColumn("__n", F.size("__p"))
-    last = F.col("__n") - 1
+    # a comma on either side, so that every piece outside quotes must begin and end with one; '' between two quoted
+    # pieces is an escaped quote. The lambdas use nothing but their piece: what they named else would be worked out anew
+    # for each piece.
+    pieces = F.split(F.concat(F.lit(","), text, F.lit(",")), '"', -1)
+    split = lines.withColumn("__p", pieces)
 
     def bad(p: Column, i: Column) -> Column:
-        # a piece outside quotes: '' between two quotes is an escaped quote, else commas must touch the quotes
-        after = (i > 0) & ~p.startswith(",")
-        before = (i < last) & ~p.endswith(",")
-        escaped = (i > 0) & (i < last) & (p == "")
-        empty_edge = (p == "") & ((i == 0) | (i == last))
-        return (i % 2 == 0) & ~escaped & ~empty_edge & (after | before)
-
-    flags = F.transform("__p", bad)
-    ok = (F.col("__n") % 2 == 1) & ~F.exists(flags, lambda b: b)
+        return (i % 2 == 0) & (p != "") & ~(p.startswith(",") & p.endswith(","))
+
+    ok = (F.size("__p") % 2 == 1) & ~F.exists(F.transform("__p", bad), lambda b: b)
     joined = F.array_join(
         F.transform(
             "__p",
-            lambda p, i: F.when(i % 2 == 1, F.translate(p, "\u0001", "�"))
-            .when((p == "") & (i > 0) & (i < last), F.lit('"'))
-            .otherwise(F.translate(p, "\u0001,", "�\u0001")),
+            lambda p, i: F.when(i % 2 == 1, F.translate(p, "\u0001", "�")).when(p == "", F.lit('"')).otherwise(F.translate(p, "\u0001,", "�\u0001")),
         ),
         "",
     )
-    return split.withColumn("well_formed", ok).withColumn("cells", F.when(ok, F.split(joined, "\u0001", -1))).drop("__p", "__n")
+    cells = F.split(joined, "\u0001", -1)
+    return split.withColumn("well_formed", ok).withColumn("cells", F.when(ok, F.slice(cells, 2, F.size(cells) - 2))).drop("__p")
 
 
 def failures(lines: DataFrame, rules: DataFrame, line_id: str = "line_id", dataset: str = "dataset_name") -> DataFrame:
