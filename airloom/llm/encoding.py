@@ -218,7 +218,14 @@ def inverses(s: str) -> tuple[tuple[str, str, str], ...]:
                 was = raw.decode(true)
             except UnicodeDecodeError:
                 continue
-            if was != s and all(ch == "\xa0" or ch.isprintable() or (true == "utf-8" and 0x80 <= ord(ch) < 0xA0) for ch in was):
+            if was == s:
+                continue
+            if true == "utf-8":
+                # misread twice over: the step between is as improbable as the text itself, so both are taken at once
+                for w2, t2, was2 in inverses(was):
+                    if t2 == "utf-8" and w2 == wrong:
+                        found.setdefault((was2, True), (f"{wrong} twice", true, was2))
+            if all(ch == "\xa0" or ch.isprintable() or (true == "utf-8" and 0x80 <= ord(ch) < 0xA0) for ch in was):
                 found.setdefault((was, true == "utf-8"), (wrong, true, was))
     return tuple(found.values())
 
@@ -265,6 +272,7 @@ def _restore(text: str, model: Model, established: set[tuple[str, str]]) -> tupl
     # one kind of stretch alone may be a rare but proper character
     sure = {m for m, kinds in seen.items() if m[1] == "utf-8" or len(kinds) > 1 or any(r >= RISE_ALONE and any(c.isalpha() or "\x80" <= c < "\xa0" for c in k) for k, r in kinds.items())}
     established |= {m for m in sure if m[1] == "utf-8"}
+    single = max((m for m in sure if m[1] != "utf-8"), key=lambda m: (votes[m], m), default=None)
     out, names, end, top = [], [], 0, 0.0
     known = dict(zip(spots, options))
     for w in _WORD.finditer(text):
@@ -273,6 +281,12 @@ def _restore(text: str, model: Model, established: set[tuple[str, str]]) -> tupl
         if not here:
             # where UTF-8 was misread once, whatever else has its byte structure under the same codec was misread too
             here = {(x, y): (was, 0.0) for x, y, was in inverses(w.group()) if (x, y) in established}
+        if not here and single:
+            # a mapping that stands for the text needs no more than some rise elsewhere in it
+            left, right = text[a - 1 : a] or " ", text[b : b + 1] or " "
+            for x, y, was in inverses(w.group()):
+                if (x, y) == single and model.mean(left + was + right) > model.mean(left + w.group() + right):
+                    here = {(x, y): (was, 0.0)}
         if not here:
             continue
         # the mapping that explains most of the text goes first, so that one passage is read in one way
@@ -296,6 +310,8 @@ def garbled(texts: DataFrame, model: Model, doc_id: str = "doc_id", text: str =
         m = Model(unigrams, cells)
         for b in batches:
             found = [(i, f) for i, t in zip(b["doc_id"], b["text"]) if (f := examine(t, m)) is not None]
+            if not found:  # an empty column of lists has no Arrow form
+                continue
             yield pd.DataFrame({
                 "doc_id": [i for i, _ in found], "restored": [f.text for _, f in found],
                 "mappings": [f.mappings for _, f in found], "rise": [f.rise for _, f in found], "lost": [f.lost for _, f in found],
