@@ -100,8 +100,10 @@ def shortest(e: DataFrame, pairs: DataFrame, max_edges: int = 2_000_000) -> Data
     kind = e.schema["src"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches), ignore_index=True)
-        found = []
+        got = [b for b in batches if len(b)]
+        if not got:
+            return
+        rows, found = pd.concat(got, ignore_index=True), []
         for o, part in rows.groupby("origin"):
             want, best, prev, done = set(part["destination"]), {o: 0.0}, {}, set()
             heap = [(0.0, o)]
@@ -120,7 +122,8 @@ def shortest(e: DataFrame, pairs: DataFrame, max_edges: int = 2_000_000) -> Data
                 while path[-1] != o:
                     path.append(prev[path[-1]])
                 found.append((o, d, best[d], [str(x) for x in path[::-1]]))
-        yield pd.DataFrame(found, columns=["origin", "destination", "cost", "path"])
+        if found:  # an empty column of lists has no Arrow form
+            yield pd.DataFrame(found, columns=["origin", "destination", "cost", "path"])
 
     spread = pairs.select("origin", "destination").distinct().repartition("origin")
     return spread.mapInPandas(run, f"origin {kind}, destination {kind}, cost double, path array<string>")
