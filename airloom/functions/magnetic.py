@@ -57,7 +57,7 @@ def _legendre(top: int, theta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def evaluate(model: Model, year: np.ndarray, alt_km: np.ndarray, lat: np.ndarray, lon: np.ndarray) -> dict[str, np.ndarray]:
     """Declination, inclination (degrees) and F, H, X, Y, Z (nT); NaN outside the model's years or the earth's range."""
-    year, alt_km, lat, lon = np.broadcast_arrays(*(np.asarray(x, float) for x in (year, alt_km, lat, lon)))
+    year, alt_km, lat, lon = np.broadcast_arrays(*(np.atleast_1d(np.asarray(x, float)) for x in (year, alt_km, lat, lon)))
     ok = (year >= model.epoch) & (year <= model.epoch + LAST - EPOCH) & (np.abs(lat) <= 90) & (np.abs(lon) <= 180) & (alt_km >= -1) & (alt_km <= 850)
     phi, lam = np.radians(np.where(ok, lat, 0)), np.radians(np.where(ok, lon, 0))
     e2 = F_WGS * (2 - F_WGS)

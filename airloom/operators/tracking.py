@@ -14,7 +14,7 @@ from airloom.functions.geo import haversine_nm
 
 #: Samples of another phase in a row that are needed to enter a phase; two for those not named.
 TICKS = {"takeoff": 1, "landing": 1, "initial_climb": 1, "go_around": 1, "climb": 3, "descent": 3, "cruise": 3}
-AIRBORNE = {"takeoff", "initial_climb", "climb", "cruise", "descent", "approach", "go_around"}
+AIRBORNE = {"initial_climb", "climb", "cruise", "descent", "approach", "go_around"}
 TELEPORT_NM, OFF_ROUTE_NM, STALE_S = 50.0, 5.0, 5.0
 RADIUS_NM = {"approach": 0.8, "terminal": 1.5}
 
