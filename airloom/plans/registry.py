@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from airloom.plans import reference, training
+from airloom.plans import formats, reference, training
 
-QUERIES = {**training.QUERIES, **reference.QUERIES}
-SQL = {**training.SQL, **reference.SQL}
+QUERIES = {**training.QUERIES, **reference.QUERIES, **formats.QUERIES}
+SQL = {**training.SQL, **reference.SQL, **formats.SQL}

@@ -263,8 +263,9 @@ def test_streaming_equals_replay(spark, tmp_path):
     s.filter("event_id < 12").coalesce(1).write.parquet(str(tmp_path / "in/a"))
     s.filter("event_id >= 12").coalesce(1).write.parquet(str(tmp_path / "in/b"))
     stream = spark.readStream.schema(s.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
-    q = telemetry.track(stream, stale_ms=3_600_000).writeStream.format("memory").queryName("tracked").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
+    q = telemetry.track(stream, stale_ms=3_600_000).writeStream.format("memory").queryName("tracked").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
+    q.processAllAvailable()
+    q.stop()
     got = {(r["session_id"], r["event_id"]): r["phase"] for r in spark.table("tracked").collect()}
     want = {(r["session_id"], r["event_id"]): r["phase"] for r in tracking.replay(s).collect()}
     assert got.keys() == want.keys() and got == want
