@@ -125,7 +125,7 @@ def shortest(e: DataFrame, pairs: DataFrame, max_edges: int = 2_000_000) -> Data
         if found:  # an empty column of lists has no Arrow form
             yield pd.DataFrame(found, columns=["origin", "destination", "cost", "path"])
 
-    spread = pairs.select("origin", "destination").distinct().repartition("origin")
+    spread = pairs.select("origin", "destination").distinct().repartition(e.sparkSession.sparkContext.defaultParallelism, "origin")
     return spread.mapInPandas(run, f"origin {kind}, destination {kind}, cost double, path array<string>")
 
 

@@ -9,6 +9,12 @@ from pyspark.sql import types as T
 #: Rows up to which a side is taken as small; above it the plain join (shuffle) is used.
 SMALL_ROWS = 200_000
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` over all cores where its scan has fewer partitions than that (small files), else as it is, unshuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 SPACE = r"[\s\p{Z}]+"
 
 
