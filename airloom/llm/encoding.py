@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from airloom.tables import spread
+
 #: Pairs are counted in so many cells, code points in at most 0x110000: the model's size is bounded whatever the corpus.
 CELLS = 1 << 20
 #: A pair scores LINE - S: positive where it is less probable than the line (S in nats, see Model.score).
@@ -319,4 +321,4 @@ def garbled(texts: DataFrame, model: Model, doc_id: str = "doc_id", text: str =
 
     rows = texts.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).filter(F.col("text").rlike(r"[^\x00-\x7F]"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInPandas(run, f"doc_id {kind}, restored string, mappings array<string>, rise double, lost boolean")
+    return spread(rows, "doc_id").mapInPandas(run, f"doc_id {kind}, restored string, mappings array<string>, rise double, lost boolean")

@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from airloom.tables import spread
+
 N = 3
 #: Of so many successive n-grams of an item, the one in the fewest documents is a seed.
 STRIDE = 4
@@ -232,7 +234,7 @@ def leaks(
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).filter("doc_id is not null and text <> ''")
     kind, ikind = rows.schema["doc_id"].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
     schema = f"doc_id {kind}, item_id {ikind}, held long, share double, first_word long, last_word long"
-    parts = []
+    rows, parts = spread(rows, "doc_id"), []
     for block in _blocks(items, item_id, item_text, block_words):
         chosen = seeds(block, _count(rows, block))
         parts.append(rows.mapInPandas(_search(block, chosen, share), schema))

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from airloom.session import cut
+from airloom.tables import spread
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 CAPACITY = 2_048
@@ -55,7 +56,7 @@ def token_counts(texts: DataFrame, doc_id: str = "doc_id", text: str = "text", t
 
     rows = texts.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).filter("doc_id is not null and text <> ''")
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInPandas(count, f"doc_id {kind}, tokens long")
+    return spread(rows, "doc_id").mapInPandas(count, f"doc_id {kind}, tokens long")
 
 
 def pieces(counts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
