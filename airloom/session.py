@@ -29,7 +29,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     current = sc.getCheckpointDir()
     if current:
         return current
-    named = sc.getConf().get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="airloom-checkpoint-"))
     return sc.getCheckpointDir()
 
