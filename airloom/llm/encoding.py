@@ -4,7 +4,8 @@ Adjacent character pairs are scored by mutual information over the whole corpus.
 pairs, and the two halves of a garbled letter only ever meet each other, so the pair's own frequency enters three times
 (PMI cubed). Maximum-scoring segments of improbable pairs are cut out of each text; only inside them are inverse mappings
 (encode with the wrong codec, decode with the true one) tried, and a mapping stands if the pairs it yields, with the
-characters around, are much more probable than those it replaces.
+characters around, are much more probable than those it replaces. Garbling must not make itself probable: each distinct
+text counts once, and passages that have the byte structure of UTF-8 throughout are no evidence of what is usual.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from airloom.tables import spread
+from airloom.tables import digest, small_side, spread
 
 #: Pairs are counted in so many cells, code points in at most 0x110000: the model's size is bounded whatever the corpus.
 CELLS = 1 << 20
@@ -37,7 +38,13 @@ DEPTH = 3
 WRONG = ["cp1252", "latin-1", "cp1251", "mac_roman", "cp437", "cp850", "cp1250", "iso8859-2", "koi8-r", "cp866", "iso8859-15"]
 TRUE = ["utf-8", "cp1252", "cp1250", "cp1251", "iso8859-2", "koi8-r", "cp866", "cp850", "mac_roman"]
 
+#: Of these, codecs whose bytes 80 to BF are hardly any letters.
+PLAIN = {"cp1252", "latin-1", "iso8859-15"}
+
 _WORD = re.compile(r"[^\x00-\x7f]+")
+#: Latin letters and common marks; the same with the C1 range (misread twice) and other scripts in wide use.
+_LATIN = re.compile("[\xa0-\u017f\u2010-\u203a\u20ac\u2122]")
+_USUAL = re.compile("[\x80-\u017f\u2010-\u203a\u20ac\u2122\u0370-\u06ff\u3040-\u9fff\uac00-\ud7a3]+")
 
 
 def _folding() -> np.ndarray:
@@ -71,35 +78,85 @@ def cell(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ((a * 0x9E3779B1) ^ (b * 0x85EBCA77 >> 3) ^ (b << 7)) & (CELLS - 1)
 
 
+@lru_cache(maxsize=200_000)
+def structured(s: str) -> tuple[tuple[str, str], ...]:
+    """(wrong codec, original) of every codec under which ``s`` has the byte structure of UTF-8 and is usual letters or marks."""
+    out = []
+    for wrong in WRONG:
+        raw = _encode(s, wrong)
+        if raw is None:
+            continue
+        try:
+            was = raw.decode("utf-8")
+        except UnicodeDecodeError:
+            continue
+        if _USUAL.fullmatch(was):
+            out.append((wrong, was))
+    return tuple(out)
+
+
+def doubtful(text: str) -> list[tuple[int, int]]:
+    """Stretches (start, end) that can be misread UTF-8 whatever their frequency, and so are no evidence of what is usual.
+
+    A run of successive stretches beyond ASCII that all have its byte structure under one codec and give two or more
+    characters, or all stretches of a text if they give one Latin letter or mark. Chance meetings such as ``’é`` stand
+    beside stretches without that structure.
+    """
+    found = [(m.span(), dict(structured(m.group()))) for m in _WORD.finditer(text)]
+    out: set[tuple[int, int]] = set()
+    for wrong in {w for _, r in found for w in r}:
+        run: list[tuple[int, int]] = []
+        chars: set[str] = set()
+        for span, r in [*found, ((0, 0), {})]:
+            if wrong in r:
+                run.append(span)
+                chars.update(r[wrong])
+                continue
+            if len(chars) > 1 or (len(run) == len(found) and wrong in PLAIN and all(_LATIN.fullmatch(c) for c in chars)):
+                out.update(run)
+            run, chars = [], set()
+    return sorted(out)
+
+
 def count_pairs(texts: DataFrame, text: str = "text") -> DataFrame:
-    """(kind, code, n) over all texts: kind 0 code points, kind 1 cells of pairs with a character beyond ASCII."""
+    """(kind, code, n) over all texts: kind 0 code points, kind 1 cells of pairs with a character beyond ASCII.
+
+    Each distinct text counts once: a row weighs one by the number of its copies. Only digests are grouped for that.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        uni: dict[int, int] = {}
-        pair = np.zeros(CELLS, dtype=np.int64)
+        uni: dict[int, float] = {}
+        pair = np.zeros(CELLS, dtype=np.float64)
         for b in batches:
-            for t in b["text"]:
+            for t, weight in zip(b["text"], b["weight"]):
                 # texts are counted with a blank on either side, so pairs never span two of them
                 c = codes(f" {t} ")
-                k, n = np.unique(c, return_counts=True)
+                ok = np.ones(len(c), dtype=bool)
+                for x, y in doubtful(t):
+                    ok[x + 1 : y + 1] = False
+                k, n = np.unique(c[ok], return_counts=True)
                 for x, y in zip(k.tolist(), n.tolist()):
-                    uni[x] = uni.get(x, 0) + y
-                odd = (c[:-1] > 127) | (c[1:] > 127)
+                    uni[x] = uni.get(x, 0.0) + y * weight
+                odd = ((c[:-1] > 127) | (c[1:] > 127)) & ok[:-1] & ok[1:]
                 if odd.any():
-                    np.add.at(pair, cell(c[:-1][odd], c[1:][odd]), 1)
+                    np.add.at(pair, cell(c[:-1][odd], c[1:][odd]), weight)
         if uni:
             at = np.nonzero(pair)[0]
             yield pd.DataFrame({"kind": 0, "code": list(uni), "n": list(uni.values())})
             yield pd.DataFrame({"kind": 1, "code": at, "n": pair[at]})
 
-    some = texts.select(F.col(text).alias("text")).filter("text <> ''")
-    return some.mapInPandas(run, "kind int, code long, n long").groupBy("kind", "code").agg(F.sum("n").alias("n"))
+    d1, d2 = digest(F.col("text"))
+    some = texts.select(F.col(text).alias("text")).filter("text <> ''").withColumns({"__d1": d1, "__d2": d2})
+    copies = some.groupBy("__d1", "__d2").agg(F.count("*").alias("__n")).filter("__n > 1")
+    weighed = some.join(small_side(copies), ["__d1", "__d2"], "left").select("text", (1.0 / F.coalesce("__n", F.lit(1))).alias("weight"))
+    counts = weighed.mapInPandas(run, "kind int, code long, n double").groupBy("kind", "code")
+    return counts.agg(F.round(F.sum("n"), 6).alias("n"))
 
 
 @dataclass
 class Model:
-    unigrams: dict[int, int]
-    cells: dict[int, int]
+    unigrams: dict[int, float]
+    cells: dict[int, float]
 
     def __post_init__(self):
         self.uni = np.zeros(0x110000, dtype=np.float32)
@@ -273,7 +330,9 @@ def _restore(text: str, model: Model, established: set[tuple[str, str]]) -> tupl
         options.append(here)
     # one kind of stretch alone may be a rare but proper character
     sure = {m for m, kinds in seen.items() if m[1] == "utf-8" or len(kinds) > 1 or any(r >= RISE_ALONE and any(c.isalpha() or "\x80" <= c < "\xa0" for c in k) for k, r in kinds.items())}
-    established |= {m for m in sure if m[1] == "utf-8"}
+    # only what is the best reading of some stretch stands for the text
+    likely = [max(mine, key=lambda m: (votes[m], here[m][1], m)) for here in options if (mine := sure & here.keys())]
+    established |= {m for m in likely if m[1] == "utf-8"}
     single = max((m for m in sure if m[1] != "utf-8"), key=lambda m: (votes[m], m), default=None)
     out, names, end, top = [], [], 0, 0.0
     known = dict(zip(spots, options))

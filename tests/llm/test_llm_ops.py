@@ -235,6 +235,20 @@ def test_encoding_round_trip(spark):
     assert rows[20]["lost"] and not rows[1]["lost"] and rows[1]["mappings"] == ["utf-8 read as cp1252"]
 
 
+@pytest.mark.parametrize("hot", ["one text", "one source"])
+def test_encoding_garbling_of_a_third_of_the_rows(spark, hot):
+    """Garbling does not make itself probable, be it copies of one text or the texts of one source."""
+    de, fr = CLEAN[0][1], CLEAN[1][1]
+    if hot == "one text":
+        bad = {i: de for i in range(200)}
+    else:
+        bad = {i: f"{(de, fr)[i % 2]} {i}." for i in range(160)} | {i: f"Nach Köln {i}" for i in range(160, 200)}
+    rows = [(i, _garble(t, "utf-8", "cp1252")) for i, t in bad.items()] + _corpus()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["restored"] for r in encoding.garbled(docs, encoding.fit(docs)).collect()}
+    assert got == bad
+
+
 def test_encoding_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert encoding.garbled(docs, encoding.fit(docs)).count() == 0
