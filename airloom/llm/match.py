@@ -262,11 +262,7 @@ def _sweep(edges: dict[int, list[pd.DataFrame]]):
 
         out: dict[tuple[int, int], float] = {}
         for i, j, d, t in zip(e.tolist(), r.tolist(), km.tolist(), turned.tolist()):
-            a, b = row(i), row(j)
-            if np.isnan(d) and a["places"][:1] != b["places"][:1] and a["ident"] != b["ident"] and not set(a["places"]) & set(b["places"]):
-                # without a position only an equal name or ident makes a pair
-                continue
-            c = confidence(a, b, d, t)
+            c = confidence(row(i), row(j), d, t)
             if c >= EVIDENCE and c > out.get((pair[i], pair[j]), 0.0):
                 out[(pair[i], pair[j])] = c
         yield pd.DataFrame({"entity_id": [k[0] for k in out], "record_id": [k[1] for k in out], "confidence": list(out.values())})

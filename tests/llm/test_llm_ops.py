@@ -86,6 +86,12 @@ def test_match_cases(spark):
     assert all(0 <= x["confidence"] <= 1 for x in rows)
 
 
+def test_match_without_position_and_with_a_slip_in_the_name(spark):
+    e = spark.createDataFrame([(1, "XA-9GQC7", "Mount Värisvädale Airport", "small_airport", 10.0, 20.0, 2148.0, "XA", "Mount Värisvädale"), (2, "XA-2", "Mount Värkulm Airport", "small_airport", 11.0, 21.0, 2148.0, "XA", None)], ENT)
+    r = spark.createDataFrame([(11, "XA7876457", "MT VÄRITVÄDALE AIRPORT", None, None, None, 2145.0, "XA", "Mount Värisvädale", None), (12, "QQ9", "MT OSTEDALE", None, None, None, 2148.0, "XA", None, None)], ENT + ", group_ident string")
+    assert [(x["entity_id"], x["record_id"]) for x in match.match(e, r).collect()] == [(1, 11)]
+
+
 def test_match_over_partition_borders(spark, monkeypatch):
     rnd = random.Random(2)
     ents = [(i, f"E{i}", "Zelk" + "".join(rnd.choice("aeioumnrst") for _ in range(8)), "small_airport", rnd.uniform(-60, 60), rnd.uniform(-170, 170), float(rnd.randrange(3000)), "XX", None) for i in range(400)]
