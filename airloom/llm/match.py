@@ -2,9 +2,10 @@
 
 Both tables go into one stream under several composite sort keys (name, name backwards, ident, and twice the position,
 in a form that swapped or sign-flipped coordinates do not change). The stream is range-partitioned and sorted; a window
-slides over it, so each record meets the WINDOW entities before and after it under every key. Only entities count for
-the window, so a crowd of records does not push them out, and partitions hand their edges on, so no pair is lost between
-two of them. Names, positions, elevations, countries, kinds and idents are compared with weights; records that share an
+slides over it, so each record meets the WINDOW entities before and after it under every key. Only ids of entities count
+for the window, so a crowd of records or of revisions of one entity does not push others out, and partitions hand their
+edges on, so no pair is lost between two of them. Rows of a name that more than WINDOW entities have are also sorted by
+name and elevation, with and without country, and by name and position without country. Names, positions, elevations, countries, kinds and idents are compared with weights; records that share an
 ident within their own source are judged together.
 """
 
@@ -21,11 +22,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from airloom.session import cut
+from airloom.tables import small_side
 
 WINDOW = 8
 #: Rows of the sorted stream in a partition. There are at most MAX_PARTS, so the rows on their borders, which go to all
-#: workers, are at most 2 x WINDOW x MAX_PARTS; beyond that size of stream partitions grow instead.
+#: workers, are at most 2 x WINDOW x MAX_PARTS times the revisions of an entity; beyond that size partitions grow instead.
 PART_ROWS, MAX_PARTS = 60_000, 5_000
+#: Pairs filtered by distance at once in a sweep, for memory.
+CHUNK = 500_000
 #: Least confidence of a pair to be kept as evidence, and least mean of a group to be a match.
 EVIDENCE, ACCEPT = 0.55, 0.72
 
@@ -135,8 +139,11 @@ _FEATURES = (
 
 
 def _stream(rows: DataFrame) -> DataFrame:
-    """Each row once under every sort key that it has a value for."""
+    """Each row once under every sort key that it has a value for; rows of a crowded name have finer keys too."""
     first = F.get("places", F.lit(0))
+    crowd = rows.filter("entity").select(first.alias("__first"), "id").filter("__first is not null").groupBy("__first").agg(F.count_distinct("id").alias("n"))
+    crowd = small_side(crowd.filter(F.col("n") > WINDOW).select("__first", F.lit(True).alias("__crowd")))
+    rows = rows.withColumn("__first", first).join(crowd, "__first", "left").drop("__first")
     far, near = F.greatest(F.abs("lat"), F.abs("lon")), F.least(F.abs("lat"), F.abs("lon"))
     there = ~F.isnan("lat")
     pad = lambda c: F.format_string("%012.6f", c)
@@ -149,8 +156,15 @@ def _stream(rows: DataFrame) -> DataFrame:
         F.concat_ws("|", first, tie), F.concat_ws("|", F.reverse(first), tie), F.when(F.col("ident") != "", F.concat_ws("|", "ident", tie)), strip(0.0), strip(0.1),
     ]
     keys[0], keys[1] = F.when(first.isNotNull(), keys[0]), F.when(first.isNotNull(), keys[1])
-    each = F.array_compact(F.array(*[F.when(k.isNotNull(), F.struct(F.lit(i).alias("way"), k.alias("key"))) for i, k in enumerate(keys)]))
-    return rows.select("*", F.explode(each).alias("__k")).select("*", "__k.way", "__k.key").drop("__k")
+    # what the record says may be feet or metres, so it stands at each height that it can mean
+    for times in (1.0, 3.28084, 1 / 3.28084):
+        mine = F.col("__crowd") & ~F.isnan("elevation") & F.col("elevation").between(-2000, 30_000) & (F.lit(times == 1.0) | ~F.col("entity"))
+        feet = F.format_string("%012.3f", F.col("elevation") * times + 10_000)
+        keys += [F.when(mine, F.concat_ws("|", first, feet, tie)), F.when(mine & (F.col("country") != ""), F.concat_ws("|", first, "country", feet, tie))]
+    keys += [F.when(F.col("__crowd") & there, F.concat_ws("|", first, strip(shift))) for shift in (0.0, 0.1)]
+    ways = [0, 1, 2, 3, 4, 5, 6, 5, 6, 5, 6, 7, 8]
+    each = F.array_compact(F.array(*[F.when(k.isNotNull(), F.struct(F.lit(i).alias("way"), k.alias("key"))) for i, k in zip(ways, keys, strict=True)]))
+    return rows.select("*", F.explode(each).alias("__k")).select("*", "__k.way", "__k.key").drop("__k", "__crowd")
 
 
 EARTH_KM = 6371.0088
@@ -214,6 +228,32 @@ def confidence(e: dict, r: dict, km: float, turned: float) -> float:
     return max(0.0, total)
 
 
+def _outermost(rows: pd.DataFrame, last: bool) -> pd.DataFrame:
+    """The first (or last) rows that hold WINDOW different ids."""
+    ids = rows["id"][::-1] if last else rows["id"]
+    return rows[((~ids.duplicated()).cumsum() <= WINDOW).reindex(rows.index)]
+
+
+def _spans(ids: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """For each gap of ``ids``: where WINDOW different ids before it start, and where WINDOW different ids after it end."""
+
+    def starts(line: list[int]) -> list[int]:
+        n: dict[int, int] = {}
+        out, lo = [0], 0
+        for k, x in enumerate(line, 1):
+            n[x] = n.get(x, 0) + 1
+            while len(n) > WINDOW:
+                y = line[lo]
+                n[y] -= 1
+                if not n[y]:
+                    del n[y]
+                lo += 1
+            out.append(lo)
+        return out
+
+    return np.array(starts(ids)), len(ids) - np.array(starts(ids[::-1]))[::-1]
+
+
 def _sweep(edges: dict[int, list[pd.DataFrame]]):
     columns = [c.strip().split(" ")[0] for c in _FEATURES.split(", ")]
 
@@ -234,10 +274,15 @@ def _sweep(edges: dict[int, list[pd.DataFrame]]):
         ident = rows["ident"].to_numpy()
         k = np.searchsorted(at, who)
         left, right, near_km, turned_km = [], [], [], []
-        for step in range(-WINDOW, WINDOW):
-            j = k + step
-            ok = (j >= 0) & (j < len(at))
-            r, e = who[ok], at[j[ok]]
+        lo, hi = _spans(rows["id"].to_numpy()[at].tolist())
+        lo, count = lo[k], hi[k] - lo[k]
+        ends = np.cumsum(count)
+        a = 0
+        while a < len(who):
+            z = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + CHUNK, side="right")))
+            n = count[a:z]
+            r, e = np.repeat(who[a:z], n), at[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo[a:z], n)]
+            a = z
             same = way[r] == way[e]
             r, e = r[same], e[same]
             km = _km(lat[e], lon[e], lat[r], lon[r])
@@ -288,19 +333,19 @@ def candidates(entities: DataFrame, records: DataFrame) -> DataFrame:
             mine = b[b["entity"].to_numpy(dtype=bool)]
             if not len(mine):
                 continue
-            head = mine.head(WINDOW) if head is None else pd.concat([head, mine]).head(WINDOW)
-            tail = mine.tail(WINDOW) if tail is None else pd.concat([tail, mine]).tail(WINDOW)
+            head = _outermost(mine if head is None else pd.concat([head, mine], ignore_index=True), False)
+            tail = _outermost(mine if tail is None else pd.concat([tail, mine], ignore_index=True), True)
         if head is not None:
             yield head.assign(side=0)
             yield tail.assign(side=1)
 
-    # at most 2 x WINDOW rows of each partition come to the driver and go out again
+    # the rows of at most 2 x WINDOW entities of each partition come to the driver and go out again
     schema = _FEATURES + ", way int, key string, pid int"
     borders = stream.mapInPandas(ends, schema + ", side int").toPandas()
     edges: dict[int, tuple] = {}
     for pid in range(parts):
-        prev = borders[(borders["pid"] < pid) & (borders["side"] == 1)].tail(WINDOW)
-        nxt = borders[(borders["pid"] > pid) & (borders["side"] == 0)].head(WINDOW)
+        prev = _outermost(borders[(borders["pid"] < pid) & (borders["side"] == 1)], True)
+        nxt = _outermost(borders[(borders["pid"] > pid) & (borders["side"] == 0)], False)
         edges[pid] = (prev.drop(columns="side"), nxt.drop(columns="side"))
     pairs = stream.mapInPandas(_sweep(edges), "entity_id long, record_id long, confidence double")
     return pairs.groupBy("entity_id", "record_id").agg(F.max("confidence").alias("confidence"))

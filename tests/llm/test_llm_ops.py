@@ -92,6 +92,21 @@ def test_match_without_position_and_with_a_slip_in_the_name(spark):
     assert [(x["entity_id"], x["record_id"]) for x in match.match(e, r).collect()] == [(1, 11)]
 
 
+def test_match_crowded_name(spark, monkeypatch):
+    """Many airports of one name, and many revisions of one of them, hide no other; over partition borders as well."""
+    rnd = random.Random(7)
+    ents = [(i, f"E{i}", "Hargal Airport", "small_airport", rnd.uniform(-60, 60), rnd.uniform(-170, 170), 1000.0 + 39 * i, f"X{i % 5}", None) for i in range(1, 61)]
+    more = [(*ents[29][:3], "closed" if k % 2 else "small_airport", *ents[29][4:6], 2170.0 + k / 100, *ents[29][7:]) for k in range(100)]
+    recs = [(1000 + i, f"R{i}", "HARGAL ARPT", None, None, None, el + 3 if i % 3 else round(el / 3.28084, 1), (None, c)[i % 2], None, f"R{i}") for i, _, _, _, _, _, el, c, _ in ents]
+    recs += [(2000 + i, f"S{i}", "HARGAL ARPT", None, la + 0.001, lo, None, None, None, f"S{i}") for i, _, _, _, la, lo, _, _, _ in ents]
+    e, r = spark.createDataFrame(ents + more, ENT), spark.createDataFrame(recs, ENT + ", group_ident string")
+    want = {(i, n + i) for i in range(1, 61) for n in (1000, 2000)}
+    for rows in (match.PART_ROWS, 150):
+        monkeypatch.setattr(match, "PART_ROWS", rows)
+        pairs = {(x["entity_id"], x["record_id"]) for x in match.match(e, r).collect()}
+        assert len(pairs & want) == len(want), (rows, len(pairs & want), sorted(want - pairs)[:9])
+
+
 def test_match_over_partition_borders(spark, monkeypatch):
     rnd = random.Random(2)
     ents = [(i, f"E{i}", "Zelk" + "".join(rnd.choice("aeioumnrst") for _ in range(8)), "small_airport", rnd.uniform(-60, 60), rnd.uniform(-170, 170), float(rnd.randrange(3000)), "XX", None) for i in range(400)]
