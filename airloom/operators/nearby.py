@@ -43,7 +43,8 @@ def _blocks(points: DataFrame, km: float) -> DataFrame:
     reach = F.when(ratio < math.sin(math.radians(2.5)), F.degrees(F.asin(F.least(ratio, F.lit(1.0)))) * 2 + 1e-6).otherwise(F.lit(360.0))
     rows = rows.withColumn("reach", reach)
     width = F.when(F.col("reach") >= 360, 360.0).otherwise(F.least(F.lit(360.0), F.col("reach") * 64))
-    rows = rows.withColumn("width", width).withColumn("last", F.ceil(F.lit(360.0) / F.col("width")).cast("long") - 1)
+    # equal blocks, none narrower than reach: over the antimeridian too the partner is in the next one
+    rows = rows.withColumn("last", F.floor(F.lit(360.0) / width).cast("long") - 1).withColumn("width", F.lit(360.0) / (F.col("last") + 1))
     block = F.least(F.floor((F.col("lon") + 180) / F.col("width")).cast("long"), F.col("last"))
     into = F.col("lon") + 180 - F.col("block") * F.col("width")
     rows = rows.withColumn("block", block).withColumn("__near", (into < F.col("reach")) & (F.col("reach") < 360))

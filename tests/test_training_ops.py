@@ -233,6 +233,17 @@ def test_near_pairs_brute_force(spark, km):
         assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_near_pairs_over_the_antimeridian(spark):
+    """At a latitude where blocks of a fixed width leave a last one narrower than reach, and at many others."""
+    pts = [(1, -19.3513, 179.9913), (2, -19.3513, -179.998)]
+    for i in range(400):
+        lat = -80.0 + i * 0.4
+        dx = math.degrees(1.0 / nearby.EARTH_KM) / math.cos(math.radians(lat))
+        pts += [(10 + 2 * i, lat, 180 - dx * 0.85), (11 + 2 * i, lat, -180 + dx * 0.85)]
+    got = {tuple(r) for r in nearby.near_pairs(spark.createDataFrame(pts, "id long, lat double, lon double"), 2).select("id_a", "id_b").collect()}
+    assert got == {(1, 2)} | {(10 + 2 * i, 11 + 2 * i) for i in range(400)}
+
+
 def test_near_pairs_dirt(spark):
     bad = [(1, None, 1.0), (2, 1.0, None), (3, 0.0, 0.0), (4, 91.0, 0.0), (5, 1.0, 181.0), (6, math.nan, 1.0), (7, 0.0, 1.0), (7, 0.0, 1.001), (8, 0.0, 1.002), (None, 0.0, 1.0)]
     got = [tuple(r) for r in nearby.near_pairs(spark.createDataFrame(bad, "id long, lat double, lon double").withColumn("x", F.lit(1)), 2).select("id_a", "id_b").collect()]
