@@ -39,6 +39,31 @@ def partner_counts(pairs: DataFrame, limit: float = PROBABLE_NM) -> DataFrame:
     return pairs.withColumn("partners_a", F.sum(near).over(Window.partitionBy("id_a"))).withColumn("partners_b", F.sum(near).over(Window.partitionBy("id_b")))
 
 
+def fallback_pairs(navaids: DataFrame) -> DataFrame:
+    """Candidates across providers on ``key`` (kind and ident) that no strict pair (same region too) has decided.
+
+    ``navaids`` has provider, id, key, region, lat, lon, one row an entity. Every two providers are compared, whole keys
+    with each other; a missing region is a region of its own. Partners are the candidates within PROBABLE_NM, over all
+    other providers; more than one on either side makes a near pair ambiguous. Different regions never merge.
+    """
+    n = navaids.withColumn("region", F.coalesce(F.upper(F.trim("region")), F.lit("")))
+
+    def paired(rows: DataFrame) -> DataFrame:
+        a, b = (rows.select("key", *[F.col(c).alias(f"{c}_{s}") for c in rows.columns if c != "key"]) for s in "ab")
+        p = a.join(b, "key").filter("provider_a < provider_b and region_a <> region_b")
+        return p.withColumn("distance_nm", F.round(haversine_nm(F.col("lat_a"), F.col("lon_a"), F.col("lat_b"), F.col("lon_b")), 6))
+
+    # partners are counted first and go along with the entities, so that pairs are never shuffled
+    near = paired(n).filter(F.col("distance_nm") <= PROBABLE_NM)
+    ends = near.select(F.explode(F.array(*[F.struct(F.col(f"provider_{s}").alias("provider"), F.col(f"id_{s}").alias("id")) for s in "ab"])).alias("e")).select("e.*")
+    partners = ends.groupBy("provider", "id").agg(F.count("*").alias("partners"))
+    p = paired(n.join(partners, ["provider", "id"], "left").fillna(0, ["partners"]))
+    several = (F.col("distance_nm") <= PROBABLE_NM) & (F.greatest("partners_a", "partners_b") > 1)
+    apart = (F.col("region_a") != "") & (F.col("region_b") != "")
+    outcome = F.when(several, "ambiguous").when(apart, "distinct").otherwise(tier(F.col("distance_nm"), "distinct"))
+    return p.select("provider_a", "id_a", "provider_b", "id_b", "distance_nm", "partners_a", "partners_b", outcome.alias("outcome"))
+
+
 def ident_changes(a: DataFrame, b: DataFrame, cell: float = 0.1, limit_nm: float = IDENT_CHANGE_NM) -> DataFrame:
     """Entities of the same country and cell within ``limit_nm`` under another ident: the place changed its ident.
 

@@ -396,6 +396,25 @@ def navaid_fallback(spark: SparkSession, d: str) -> DataFrame:
     return reconcile.partner_counts(p)
 
 
+@query(f"""with f as (select lower(provider_name) p, source_snapshot_id, row_number() over (partition by lower(provider_name) order by retrieved_at desc, source_snapshot_id desc) nth from fetched_datasets where lower(coverage) <> 'partial'),
+r as (select f.p, lower(trim(record_id)) id, arg_min({{t: navaid_type, i: ident, g: iso_country, lat: latitude_deg, lon: longitude_deg}}, row_id) v from dataset_rows join f using (source_snapshot_id) where nth = 1 group by 1, 2),
+n as (select p, id, case when v.t = 'NDB' then 'ndb' else 'vor' end || ':' || upper(trim(v.i)) k, coalesce(upper(trim(v.g)), '') g, v.lat lat, v.lon lon from r where v.lat is not null and v.lon is not null and not (v.lat = 0 and v.lon = 0)),
+c as (select a.p pa, a.id ia, b.p pb, b.id ib, a.g ga, b.g gb, round({_hav('a.lat', 'a.lon', 'b.lat', 'b.lon')}, 6) d from n a join n b on a.k = b.k and a.p < b.p where not exists (select 1 from n s where s.p = a.p and s.id = a.id and s.k = b.k and s.g = b.g)),
+e as (select p, id, count(*) n from (select pa p, ia id from c where d <= 30 union all select pb, ib from c where d <= 30) group by 1, 2)
+select pa provider_a, ia id_a, pb provider_b, ib id_b, d distance_nm, coalesce(x.n, 0) partners_a, coalesce(y.n, 0) partners_b,
+case when d <= 30 and greatest(coalesce(x.n, 0), coalesce(y.n, 0)) > 1 then 'ambiguous' when ga <> '' and gb <> '' then 'distinct' when d <= 3 then 'exact' when d <= 30 then 'probable' else 'distinct' end outcome
+from c left join e x on x.p = pa and x.id = ia left join e y on y.p = pb and y.id = ib""")
+def navaid_provider_fallback(spark: SparkSession, d: str) -> DataFrame:
+    """Navaids of the last full deliveries of all providers on kind and whole ident, without strict pairs."""
+    f = read(spark, d, "fetched_datasets").filter("lower(coverage) <> 'partial'").groupBy(F.lower("provider_name").alias("provider"))
+    f = f.agg(F.max(F.struct("retrieved_at", "source_snapshot_id")).alias("s")).select("provider", "s.source_snapshot_id")
+    rows = read(spark, d, "dataset_rows").join(F.broadcast(f), "source_snapshot_id").groupBy("provider", F.lower(F.trim("record_id")).alias("id"))
+    n = rows.agg(F.min_by(F.struct("navaid_type", "ident", "iso_country", "latitude_deg", "longitude_deg"), "row_id").alias("v")).select("provider", "id", "v.*")
+    n = n.filter("latitude_deg is not null and longitude_deg is not null and not (latitude_deg = 0 and longitude_deg = 0)")
+    k = F.concat(text.navaid_class(F.col("navaid_type")), F.lit(":"), F.upper(F.trim("ident")))
+    return reconcile.fallback_pairs(n.select("provider", "id", k.alias("key"), F.col("iso_country").alias("region"), F.col("latitude_deg").alias("lat"), F.col("longitude_deg").alias("lon")))
+
+
 @query(f"""with a as (select distinct id, ident, iso_country c, latitude_deg lat, longitude_deg lon from ourairports_airports), b as (select distinct record_id id, ident, iso_country c, lat, lon from aixm_airports where lat is not null and lon is not null)
 select distinct a.id id_a, b.id id_b, a.ident ident_a, b.ident ident_b, round({_hav('a.lat', 'a.lon', 'b.lat', 'b.lon')}, 6) distance_nm from a join b on floor(a.lat / 0.1) = floor(b.lat / 0.1) and floor(a.lon / 0.1) = floor(b.lon / 0.1) and a.c = b.c
 where a.ident <> b.ident and round({_hav('a.lat', 'a.lon', 'b.lat', 'b.lon')}, 6) <= 0.3""")

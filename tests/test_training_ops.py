@@ -7,7 +7,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from airloom.operators import history, nearby, references, rejects, skew, snapshot_diff
+from airloom.operators import history, nearby, reconcile, references, rejects, skew, snapshot_diff
 
 T0 = datetime(2025, 1, 1)
 
@@ -244,6 +244,19 @@ def test_near_pairs_over_the_antimeridian(spark):
     assert got == {(1, 2)} | {(10 + 2 * i, 11 + 2 * i) for i in range(400)}
 
 
+def test_fallback_pairs(spark):
+    """Ids of one parity are compared, the whole ident is the key, strict pairs are out, partners count over providers."""
+    rows = [
+        ("a", "2", "vor:ABC", None, 10.0, 20.0), ("b", "4", "vor:ABC", "XA", 10.01, 20.0), ("b", "6", "vor:ABX", "XA", 10.01, 20.0), ("a", "8", "ndb:Q", "XA", 1.0, 1.0), ("b", "10", "ndb:Q", " xa", 1.0, 1.0),
+        ("b", "12", "ndb:Q", None, 1.1, 1.0), ("c", "14", "ndb:Q", None, 1.2, 1.0), ("c", "16", "vor:ABC", "XZ", 50.0, 20.0),
+    ]
+    got = {(r["id_a"], r["id_b"]): (r["partners_a"], r["partners_b"], r["outcome"]) for r in reconcile.fallback_pairs(spark.createDataFrame(rows, "provider string, id string, key string, region string, lat double, lon double")).collect()}
+    assert got == {
+        ("2", "4"): (1, 1, "exact"), ("2", "16"): (1, 0, "distinct"), ("4", "16"): (1, 0, "distinct"),
+        ("8", "12"): (2, 1, "ambiguous"), ("8", "14"): (2, 2, "ambiguous"), ("10", "14"): (1, 2, "ambiguous"),
+    }
+
+
 def test_near_pairs_dirt(spark):
     bad = [(1, None, 1.0), (2, 1.0, None), (3, 0.0, 0.0), (4, 91.0, 0.0), (5, 1.0, 181.0), (6, math.nan, 1.0), (7, 0.0, 1.0), (7, 0.0, 1.001), (8, 0.0, 1.002), (None, 0.0, 1.0)]
     got = [tuple(r) for r in nearby.near_pairs(spark.createDataFrame(bad, "id long, lat double, lon double").withColumn("x", F.lit(1)), 2).select("id_a", "id_b").collect()]
