@@ -25,7 +25,8 @@ from airloom.tables import spread
 N = 3
 #: Of so many successive n-grams of an item, the one in the fewest documents is a seed.
 STRIDE = 4
-#: Seeds of an item that must lie together for an alignment; half an item of 100 words has a dozen.
+#: Seeds of an item that must lie together for an alignment; half an item of 100 words has a dozen. Shorter ones
+#: need as many as such a run of theirs surely has; one with fewer n-grams than SEEDS x STRIDE has all of them as seeds.
 SEEDS = 3
 #: Share of the item's words that a document must hold.
 SHARE = 0.5
@@ -113,11 +114,14 @@ def _count(docs: DataFrame, items: Items) -> np.ndarray:
 
 
 def seeds(items: Items, frequency: np.ndarray) -> np.ndarray:
-    """Which n-grams of the items are seeds: the rarest of every STRIDE successive ones, the first of equals."""
+    """Which n-grams of the items are seeds: the rarest of every STRIDE successive ones, the first of equals; of short items all."""
     chosen = np.zeros(len(items.gram_code), dtype=bool)
     f = frequency[np.searchsorted(items.known, items.gram_code)]
     for k in range(len(items.ids)):
         mine = np.nonzero(items.gram_item == k)[0]
+        if len(mine) < SEEDS * STRIDE:
+            chosen[mine] = True
+            continue
         for a in range(max(1, len(mine) - STRIDE + 1)):
             w = mine[a : a + STRIDE]
             if len(w):
@@ -172,21 +176,24 @@ def _search(items: Items, chosen: np.ndarray, share: float):
     code, owner, pos = items.gram_code[chosen][order], items.gram_item[chosen][order], items.gram_pos[chosen][order]
     among, start = np.unique(code, return_index=True)
     stop = np.append(start[1:], len(code))
+    # the least number of seeds in an intact run of the share asked for, SEEDS at most
+    need = [min(SEEDS, max(1, (int(np.ceil(share * len(c))) - N + 1) // STRIDE)) for c in items.coded]
 
     def places(c: np.ndarray) -> Iterator[tuple[int, int, int]]:
         at, k = items.hits(c, among)
-        if len(at) < SEEDS:
+        if not len(at):
             return
         n = stop[k] - start[k]
         d = np.repeat(at, n)
         e = np.arange(len(d)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start[k], n)
         who, where = owner[e], pos[e]
         for i in np.unique(who):
-            mine = who == i
+            if np.count_nonzero(mine := who == i) < need[i]:
+                continue
             dd, pp = d[mine], where[mine]
             size = len(items.coded[i])
             for part in np.split(np.arange(len(dd)), np.nonzero(np.diff(dd) > size + PLACE)[0] + 1):
-                if len(np.unique(pp[part])) >= min(SEEDS, max(1, size - N + 1)):
+                if len(np.unique(pp[part])) >= need[i]:
                     yield int(i), max(0, int(dd[part[0]]) - size - PLACE), min(len(c), int(dd[part[-1]]) + N + size + PLACE)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -209,6 +209,15 @@ def test_leaks(spark):
     assert leaks.leaks(d, it.limit(0)).count() == 0 and leaks.leaks(d.limit(0), it).count() == 0
 
 
+def test_leaks_of_short_items(spark):
+    """A verbatim copy, or half, of an item of few words is found whatever number of seeds it has."""
+    texts = {n: " ".join(f"short{n}x{i}" for i in range(n)) for n in range(3, 18)}
+    it = spark.createDataFrame(list(texts.items()), "item_id long, text string")
+    half = {100 + n: " ".join(t.split()[: -(-n // 2)]) for n, t in texts.items() if n >= 6}
+    d = spark.createDataFrame([(n, f"before {t} after") for n, t in {**texts, **half}.items()], "doc_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in leaks.leaks(d, it).collect()} == {(n, n) for n in texts} | {(n, n - 100) for n in half}
+
+
 def test_alignment_against_brute_force():
     """On short texts the aligned words are those of the best local alignment found by trying all of them."""
     rnd = random.Random(9)
