@@ -1,9 +1,9 @@
 """Filling containers of fixed capacity with texts measured in tokens.
 
 Everything is planned on the global histogram of lengths, at most ``capacity`` numbers however many texts there are.
-Dynamic programming puts bucket boundaries where padding up to the boundary is least. Containers are then planned from
-the largest bucket down: a batch takes texts of its bucket while the token budget lasts and what is left of the budget
-goes to the longest texts of the smaller buckets that fit. A plan row says which ranks of a length go to which
+Dynamic programming puts bucket boundaries where padding up to the boundary is least; they label the texts and do not
+steer where these go. Containers are planned from the longest length down: each takes the longest texts while the token
+budget lasts, and what is left of the budget goes to the longest of all others that fit. A plan row says which ranks of a length go to which
 containers; texts get their rank in their length from salted counts, so no length is ever gathered in one task.
 """
 
@@ -110,7 +110,7 @@ def plan(histogram: np.ndarray, capacity: int = CAPACITY) -> tuple[pd.DataFrame,
     while sizes:
         room, pattern = capacity, {}
         at = len(sizes)
-        # first the longest texts of the top bucket while the budget lasts, then the longest that fit of the buckets below
+        # first the longest texts while the budget lasts, then the longest that fit of all shorter ones
         while room > 0 and at and (at := bisect.bisect_right(sizes, room, 0, at)):
             at -= 1
             s = sizes[at]
