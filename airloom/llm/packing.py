@@ -1,10 +1,12 @@
 """Filling containers of fixed capacity with texts measured in tokens.
 
 Everything is planned on the global histogram of lengths, at most ``capacity`` numbers however many texts there are.
-Dynamic programming puts bucket boundaries where padding up to the boundary is least; they label the texts and do not
-steer where these go. Containers are planned from the longest length down: each takes the longest texts while the token
-budget lasts, and what is left of the budget goes to the longest of all others that fit. A plan row says which ranks of a length go to which
-containers; texts get their rank in their length from salted counts, so no length is ever gathered in one task.
+Dynamic programming puts bucket boundaries where padding up to the boundary is least. Token-budget batches form inside
+each bucket, from the top one down: a batch is as many texts of its bucket as fit when every one is padded to the upper
+end. What padding and rounding leave of the budget is topped up from the lower buckets, and from the batch's own bucket
+where nothing lower fits. So the buckets decide which texts share a container. A plan row says which ranks of a length
+go to which containers; texts get their rank in their length from salted counts, as many salts as the length has rows
+for, so no length is ever gathered in one task.
 """
 
 from __future__ import annotations
@@ -27,7 +29,8 @@ from airloom.tables import spread
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 CAPACITY = 2_048
 BUCKETS = 16
-SALTS = 64
+#: Texts of one length that one task ranks; a length with more of them is salted over as many tasks as that asks for.
+RANKED = 500_000
 
 
 @lru_cache(maxsize=2)
@@ -95,72 +98,95 @@ def boundaries(histogram: np.ndarray, buckets: int = BUCKETS) -> list[int]:
     return ends[::-1]
 
 
-def plan(histogram: np.ndarray, capacity: int = CAPACITY) -> tuple[pd.DataFrame, int]:
-    """Containers for a histogram: rows (n, first_rank, ranks, per, container) and the number of containers.
+def plan(histogram: np.ndarray, ends: list[int], capacity: int = CAPACITY) -> tuple[pd.DataFrame, int]:
+    """Containers for a histogram cut at ``ends``: rows (n, first_rank, ranks, per, container, home) and their number.
 
-    Ranks first_rank .. first_rank + ranks - 1 of length n fill containers from ``container`` on, ``per`` in each. One
-    pattern is used as often as the counts allow, so two patterns at most use up a length, and the plan is bounded by
-    the capacity and not by the number of texts.
+    Ranks first_rank .. first_rank + ranks - 1 of length n fill containers from ``container`` on, ``per`` in each;
+    ``home`` is the bucket whose batch the container holds. One pattern is used as often as the counts allow, so two
+    patterns at most use up a length, and the plan is bounded by the capacity and not by the number of texts.
     """
     left = histogram.astype(np.int64).copy()
     taken = np.zeros(len(left), dtype=np.int64)
     sizes = [int(x) for x in np.nonzero(left)[0]]
-    rows: list[tuple[int, int, int, int, int]] = []
+    rows: list[tuple[int, int, int, int, int, int]] = []
     containers = 0
-    while sizes:
-        room, pattern = capacity, {}
-        at = len(sizes)
-        # first the longest texts while the budget lasts, then the longest that fit of all shorter ones
-        while room > 0 and at and (at := bisect.bisect_right(sizes, room, 0, at)):
-            at -= 1
-            s = sizes[at]
-            pattern[s] = min(room // s, int(left[s]))
-            room -= pattern[s] * s
-        times = min(int(left[s]) // n for s, n in pattern.items())
-        for s, n in pattern.items():
-            rows.append((s, int(taken[s]), n * times, n, containers))
-            taken[s] += n * times
-            left[s] -= n * times
-            if not left[s]:
-                sizes.pop(bisect.bisect_left(sizes, s))
-        containers += times
-    return pd.DataFrame(rows, columns=["n", "first_rank", "ranks", "per", "container"]), containers
-
-
-def pack(counts: DataFrame, capacity: int = CAPACITY, buckets: int = BUCKETS) -> DataFrame:
-    """(doc_id, piece, token_start, tokens, bucket, container_id) for (doc_id, tokens).
-
+    for bottom, top in list(zip([0, *ends], ends))[::-1]:
+        batch = capacity // top
+        while sizes and sizes[-1] > bottom:
+            pattern: dict[int, int] = {}
+            room, places = capacity, batch
+            # the batch: the longest texts of the bucket, as many as fit at its padded length
+            for s in reversed(sizes[bisect.bisect_right(sizes, bottom) :]):
+                if n := min(places, int(left[s])):
+                    pattern[s] = n
+                    room, places = room - n * s, places - n
+                if not places:
+                    break
+            # the rest of the budget: the longest that fit of the lower buckets, then of this one
+            for low, high in ((0, bottom), (bottom, top)):
+                at = bisect.bisect_right(sizes, min(room, high))
+                while at and sizes[at - 1] > low:
+                    at -= 1
+                    s = sizes[at]
+                    if n := min(room // s, int(left[s]) - pattern.get(s, 0)):
+                        pattern[s] = pattern.get(s, 0) + n
+                        room -= n * s
+                    at = min(at, bisect.bisect_right(sizes, room))
+            times = min(int(left[s]) // n for s, n in pattern.items())
+            for s, n in pattern.items():
+                rows.append((s, int(taken[s]), n * times, n, containers, top))
+                taken[s] += n * times
+                left[s] -= n * times
+                if not left[s]:
+                    sizes.pop(bisect.bisect_left(sizes, s))
+            containers += times
+    return pd.DataFrame(rows, columns=["n", "first_rank", "ranks", "per", "container", "home"]), containers
+
+
+def pack(counts: DataFrame, capacity: int = CAPACITY, buckets: int = BUCKETS, ranked: int = RANKED) -> DataFrame:
+    """(doc_id, piece, token_start, tokens, bucket, home_bucket, container_id) for (doc_id, tokens).
+
+    ``bucket`` is the upper end of the text's own bucket, ``home_bucket`` that of the batch its container was made for.
     Each row is placed once, repeated rows too; rows without tokens take no part; no container holds more than
     ``capacity``. An empty table gives an empty result.
     """
-    rows = cut(pieces(counts, capacity).withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int")))
-    sizes = rows.groupBy("n", "salt").agg(F.count("*").alias("c")).toPandas()  # at most capacity x SALTS rows
+    rows = cut(pieces(counts, capacity))
+    sizes = rows.groupBy("n").agg(F.count("*").alias("c")).toPandas()  # at most capacity rows
     hist = np.zeros(capacity + 1, dtype=np.int64)
-    np.add.at(hist, sizes["n"].to_numpy(dtype=int), sizes["c"].to_numpy(dtype=np.int64))
+    hist[sizes["n"].to_numpy(dtype=int)] = sizes["c"].to_numpy(dtype=np.int64)
     ends = boundaries(hist, buckets)
-    table, _ = plan(hist, capacity)
-    offsets = np.zeros((capacity + 1, SALTS), dtype=np.int64)
-    offsets[sizes["n"].to_numpy(dtype=int), sizes["salt"].to_numpy(dtype=int)] = sizes["c"].to_numpy(dtype=np.int64)
-    offsets = np.cumsum(offsets, axis=1) - offsets
-    by_n = {int(n): (g["first_rank"].to_numpy(), g["per"].to_numpy(), g["container"].to_numpy()) for n, g in table.groupby("n", sort=False)}
+    table, _ = plan(hist, ends, capacity)
+    salts = np.maximum(1, -(-hist // ranked))
+    split = F.get(F.lit([int(x) for x in salts]), F.col("n"))
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), split).cast("int"))
+    # one number for each length and salt: at most capacity + rows / ranked of them
+    parts = salted.filter(split > 1).groupBy("n", "salt").agg(F.count("*").alias("c")).toPandas() if (salts > 1).any() else None
+    offsets = [np.zeros(int(k), dtype=np.int64) for k in salts]
+    if parts is not None:
+        for n, salt, c in zip(parts["n"].tolist(), parts["salt"].tolist(), parts["c"].tolist()):
+            offsets[n][salt] = c
+        offsets = [np.cumsum(o) - o for o in offsets]
+    by_n = {
+        int(n): tuple(g[c].to_numpy() for c in ("first_rank", "per", "container", "home")) for n, g in table.groupby("n", sort=False)
+    }
     uppers = np.array(ends, dtype=np.int64)
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            n = b["n"].to_numpy()
-            rank = offsets[n, b["salt"].to_numpy()] + b["nth"].to_numpy() - 1
-            box = np.empty(len(b), dtype=np.int64)
+            n, salt, nth = b["n"].to_numpy(), b["salt"].to_numpy(), b["nth"].to_numpy()
+            box, home = np.empty(len(b), dtype=np.int64), np.empty(len(b), dtype=np.int64)
             for size in np.unique(n):
-                first, per, start = by_n[int(size)]
+                first, per, start, of = by_n[int(size)]
                 mine = n == size
-                i = np.searchsorted(first, rank[mine], side="right") - 1
-                box[mine] = start[i] + (rank[mine] - first[i]) // per[i]
+                rank = offsets[int(size)][salt[mine]] + nth[mine] - 1
+                i = np.searchsorted(first, rank, side="right") - 1
+                box[mine], home[mine] = start[i] + (rank - first[i]) // per[i], of[i]
             yield pd.DataFrame({
                 "doc_id": b["doc_id"], "piece": b["piece"], "token_start": b["token_start"], "tokens": n,
-                "bucket": uppers[np.searchsorted(uppers, n)], "container_id": box,
+                "bucket": uppers[np.searchsorted(uppers, n)], "home_bucket": home, "container_id": box,
             })
 
     w = Window.partitionBy("n", "salt").orderBy("doc_id", "piece")
     kind = counts.schema["doc_id"].dataType.simpleString()
-    ranked = rows.withColumn("nth", F.row_number().over(w))
-    return ranked.mapInPandas(place, f"doc_id {kind}, piece int, token_start long, tokens int, bucket int, container_id long")
+    placed = salted.withColumn("nth", F.row_number().over(w))
+    return placed.mapInPandas(place, f"doc_id {kind}, piece int, token_start long, tokens int, bucket int, home_bucket int, container_id long")

@@ -28,41 +28,79 @@ def test_truth_precedence_and_votes(spark):
         (6, "solo", "", None, None, None, 5.0, None, "X", "s1"), (7, "none1", "", None, None, None, 99_999.0, None, "?", "s1"), (8, "NONE1", "", None, None, None, None, None, "0", "s2"), (9, None, "", None, None, None, 5.0, None, "X", "s1"), (10, "--", "", None, None, None, 5.0, None, "X", "s1"),
         (11, "tie", "", None, None, None, 7.0, None, None, "s1"), (12, "TIE", "", None, None, None, 8.0, None, None, "s1"),
     ]
-    t = truth.discover(truth.airport_claims(*_truth_tables(spark, rows)))
-    got = {(r["group_ident"], r["field_name"], r["record_id"]) for r in truth.survivors(t, True).collect()}
+    claims = truth.airport_claims(*_truth_tables(spark, rows))
+    got = {(r["group_ident"], r["field_name"], r["record_id"]) for r in truth.survivors(truth.discover(claims, True)).collect()}
     assert got == {("AB1", "elevation_ft", 2), ("AB1", "municipality", 3), ("TIE", "elevation_ft", 11)}
-    voted = {(r["group_ident"], r["field_name"]): r["value"] for r in truth.survivors(t, False).collect()}
+    voted = {(r["group_ident"], r["field_name"]): r["value"] for r in truth.survivors(truth.discover(claims, False)).collect()}
     assert voted[("AB1", "elevation_ft")] == "300.0" and voted[("AB1", "municipality")] == "town"
 
 
-def test_truth_finds_the_reliable_source(spark):
+def _sources(spark, t):
+    return {r["source"]: r["reliability"] for r in t.reliability.collect()}
+
+
+@pytest.mark.parametrize("array_sources", [1000, 0])
+def test_truth_finds_the_reliable_source(spark, array_sources):
     rnd = random.Random(5)
     rows, i = [], 0
     for g in range(120):
         for s, p in (("s2", 0.95), ("s3", 0.9), ("s4", 0.2)):
             i += 1
             rows.append((i, f"G{g}", "", None, None, None, 100.0 if rnd.random() < p else float(rnd.randrange(1000, 9000)), None, None, s))
-    t = truth.discover(truth.airport_claims(*_truth_tables(spark, rows)))
-    assert t.reliability["best"] > t.reliability["low"] + 0.2 and t.rounds < truth.ROUNDS
+    t = truth.discover(truth.airport_claims(*_truth_tables(spark, rows)), False, array_sources=array_sources)
+    trust = _sources(spark, t)
+    assert trust["best"] > trust["low"] + 0.2 and t.rounds < truth.ROUNDS
     # by hand: a value that two sources claim wins, else that of the most reliable one, of equals the one retrieved last
-    top = {"best": "s2", "mid": "s3", "low": "s4"}[max(t.reliability, key=lambda s: (t.reliability[s], ["best", "mid", "low"].index(s)))]
+    top = {"best": "s2", "mid": "s3", "low": "s4"}[max(trust, key=lambda s: (trust[s], ["best", "mid", "low"].index(s)))]
     said = {}
     for r in rows:
         said.setdefault(r[1], {})[r[9]] = r[6] == 100.0
     want = {g for g, c in said.items() if sum(c.values()) > 1 or c[top]}
-    got = {r["group_ident"] for r in truth.survivors(t, False).filter("value = '100.0'").collect()}
-    assert got == want, (t.reliability, got ^ want, [said[g] for g in got ^ want])
+    got = {r["group_ident"] for r in truth.survivors(t).filter("value = '100.0'").collect()}
+    assert got == want, (trust, got ^ want, [said[g] for g in got ^ want])
+
+
+def test_truth_by_array_and_by_join_agree(spark):
+    rnd = random.Random(8)
+    rows = [(i, f"G{rnd.randrange(60)}", "", None, None, None, float(rnd.randrange(3)), None, rnd.choice(["a", "b", None]), f"s{rnd.randrange(1, 6)}") for i in range(400)]
+    claims = truth.airport_claims(*_truth_tables(spark, rows))
+    for precedence in (True, False):
+        a, b = (truth.discover(claims, precedence, array_sources=n) for n in (1000, 0))
+        assert a.rounds == b.rounds and _sources(spark, a) == pytest.approx(_sources(spark, b), abs=1e-6)
+        assert sorted(map(tuple, truth.survivors(a).collect())) == sorted(map(tuple, truth.survivors(b).collect()))
+
+
+def test_truth_decides_between_equals_and_never_against_rank(spark):
+    """Two sources of one rank and time: the one that agrees with the better ones elsewhere is believed; its votes move
+    the supports of all values, and still no number of low claims outweighs a high one."""
+    snaps = spark.createDataFrame([("t", "top", datetime(2025, 1, 1)), ("g", "good", datetime(2025, 2, 1)), ("b", "bad", datetime(2025, 2, 1)), ("l", "low", datetime(2025, 9, 1))], "snapshot_id string, provider_id string, retrieved_at timestamp_ntz")
+    reg = spark.createDataFrame([("top", 1), ("good", 2), ("bad", 2), ("low", 9)], "provider_id string, trust_rank int")
+    rows, i = [], 0
+    for g in range(30):
+        for s, v in (("t", 10.0), ("g", 10.0), ("b", 20.0), *[("l", 30.0)] * 5):
+            i += 1
+            rows.append((i, f"G{g}", "", None, None, None, v, None, None, s))
+    for s, v, n in (("b", 1.0, 9001), ("g", 2.0, 9002)):
+        rows.append((n, "OPEN", "", None, None, None, v, None, None, s))
+    claims = truth.airport_claims(spark.createDataFrame(rows, AIXM), snaps, reg)
+    t, first = truth.discover(claims, True), truth.discover(claims, True, rounds=0)
+    trust = _sources(spark, t)
+    assert trust["good"] > trust["bad"] and set(_sources(spark, first).values()) == {0.8}
+    got = {r["group_ident"]: r for r in truth.survivors(t).collect()}
+    before = {r["group_ident"]: r for r in truth.survivors(first).collect()}
+    assert all(got[f"G{g}"]["value"] == "10.0" for g in range(30)) and got["OPEN"]["record_id"] == 9002 and before["OPEN"]["record_id"] == 9001
+    assert all(got[k]["support"] != before[k]["support"] for k in got)
 
 
 def test_truth_empty(spark):
-    t = truth.discover(truth.airport_claims(*_truth_tables(spark, [])))
-    assert truth.survivors(t, True).count() == 0 and t.reliability == {}
+    t = truth.discover(truth.airport_claims(*_truth_tables(spark, [])), True)
+    assert truth.survivors(t).count() == 0 and _sources(spark, t) == {}
 
 
 def test_truth_hot_group(spark):
     rows = [(i, "HOT", "", None, None, None, float(i % 50), None, None, "s3") for i in range(3000)] + [(9999, "hot", "", None, None, None, 7.0, None, None, "s1")]
-    t = truth.discover(truth.airport_claims(*_truth_tables(spark, rows)))
-    assert [r["record_id"] for r in truth.survivors(t, True).collect()] == [9999]
+    t = truth.discover(truth.airport_claims(*_truth_tables(spark, rows)), True)
+    assert [r["record_id"] for r in truth.survivors(t).collect()] == [9999]
 
 
 ENT = "id long, ident string, name string, kind string, lat double, lon double, elevation double, country string, municipality string"
@@ -152,13 +190,38 @@ def test_plan_fills_all_and_wastes_little(seed):
     h = np.zeros(2049, dtype=np.int64)
     for n in np.minimum(2048, np.maximum(1, rnd.lognormal(5.2, 0.9, 20_000).astype(int))):
         h[n] += 1
-    table, boxes = packing.plan(h)
+    table, boxes = packing.plan(h, packing.boundaries(h))
     placed = table.groupby("n")["ranks"].sum()
     assert (placed.reindex(np.nonzero(h)[0]) == h[h > 0]).all()
     total = int((np.arange(2049) * h).sum())
     assert boxes <= -(-total // 2048) * 1.01 + 1
 
 
+def test_buckets_decide_the_containers():
+    """Every container holds the batch of its home bucket, and other buckets make other containers."""
+    rnd = np.random.default_rng(3)
+    h = np.bincount(np.minimum(2048, np.maximum(1, rnd.lognormal(5.6, 0.9, 5_000).astype(int))), minlength=2049)
+    made = {}
+    for k in (2, 5, 16):
+        ends = packing.boundaries(h, k)
+        table, boxes = packing.plan(h, ends)
+        made[k] = table
+        full = np.zeros(boxes, dtype=np.int64)
+        own = np.zeros(boxes, dtype=np.int64)
+        home = np.zeros(boxes, dtype=np.int64)
+        for n, ranks, per, at, top in table[["n", "ranks", "per", "container", "home"]].itertuples(index=False):
+            here = slice(at, at + -(-ranks // per))
+            assert ranks % per == 0 and n <= top
+            full[here] += n * per
+            own[here] += per * (n > max([0, *[e for e in ends if e < top]]))
+            home[here] = top
+        assert (full <= 2048).all() and full.sum() == (np.arange(2049) * h).sum()
+        # but for the last container of a bucket the batch is as large as its padded length allows
+        short = [t for t, n in zip(home.tolist(), own.tolist()) if n < 2048 // t]
+        assert len(short) == len(set(short))
+    assert not made[2].equals(made[5]) and not made[5].equals(made[16])
+
+
 def test_pack(spark):
     rows = [(i, 1 + i * 37 % 700) for i in range(500)] + [(900 + i, 64) for i in range(400)] + [(2000, 5000), (2001, 2048), (2002, 2049), (2003, 0), (2004, None), (5, 300)]
     out = packing.pack(spark.createDataFrame(rows, "doc_id long, tokens long").withColumn("salt", F.lit(1))).toPandas()
@@ -169,6 +232,8 @@ def test_pack(spark):
     assert sorted(out[out["doc_id"] == 2002]["tokens"]) == [1, 2048] and len(out[out["doc_id"] == 5]) == 2
     assert out["container_id"].nunique() <= -(-int(out["tokens"].sum()) // 2048) + 2
     assert sorted(out["container_id"].unique()) == list(range(out["container_id"].nunique()))
+    salted = packing.pack(spark.createDataFrame(rows, "doc_id long, tokens long"), ranked=7).toPandas()
+    assert len(salted) == len(out) and (salted.groupby("container_id")["tokens"].sum() <= 2048).all() and salted["container_id"].nunique() == out["container_id"].nunique()
     assert packing.pack(spark.createDataFrame([], "doc_id long, tokens long")).count() == 0
 
 
