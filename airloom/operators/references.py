@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from airloom.operators.skew import HOT_ROWS, hot_keys
+from airloom.operators.skew import HOT_ROWS, hot_keys, parts
 from airloom.tables import far_future, far_past, key_text
 
 REFERENCE = ["table_name", "field_name", "row_key", "target", "key", "at"]
@@ -42,17 +42,17 @@ def parents(df: DataFrame, target: str, key: Column, start: str, end: str) -> Da
 def orphans(refs: DataFrame, held: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """The references without a valid parent: table_name, field_name, row_key, at, reason (missing, deleted, late, gap).
 
-    References of a hot key are salted over as many parts as its size asks for, its parents are copied to each part
-    (parents are one row per key and start). One row per case, however often the referring row was delivered.
+    References of a hot key (any number of keys) are salted over as many parts as its size asks for, its parents are
+    copied to each part (parents are one row per key and start). One row per case, however often the referring row was delivered.
     """
-    hot = hot_keys(refs, ["target", "key"], hot_rows)
-    parts = F.lit(1)
-    for target, key, n in hot:
-        parts = F.when((F.col("target") == target) & (F.col("key") == key), -(-n // hot_rows)).otherwise(parts)
-    r = refs.select(*REFERENCE, F.pmod(F.xxhash64("row_key", "at"), parts).cast("int").alias("part"), F.lit(None).cast(held.schema["ends"].dataType).alias("ends"))
-    p = held.select(
+    keys = ["target", "key"]
+    hot = hot_keys(refs, keys, hot_rows)
+    marked, split = parts(refs.select(*REFERENCE), keys, hot, hot_rows)
+    r = marked.select(*REFERENCE, F.pmod(F.xxhash64("row_key", "at"), split).cast("int").alias("part"), F.lit(None).cast(held.schema["ends"].dataType).alias("ends"))
+    marked, split = parts(held, keys, hot, hot_rows)
+    p = marked.select(
         *[F.lit(None).cast(refs.schema[c].dataType).alias(c) for c in REFERENCE[:3]], "target", "key", "at",
-        F.explode(F.sequence(F.lit(0), (parts - 1).cast("int"))).alias("part"), "ends",
+        F.explode(F.sequence(F.lit(0), split - 1)).alias("part"), "ends",
     )
     w = Window.partitionBy("target", "key", "part").orderBy("at", F.col("ends").isNull())
     seen = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -1,33 +1,37 @@
-"""Neighbours in a sorted group, for groups of any size."""
+"""Keys that hold very many rows, and neighbours in a sorted group of any size."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: A key is hot if it has at least HOT_ROWS rows; at most HOT_KEYS of them (the largest) are treated as such, so any
-#: other key holds under 1 / HOT_KEYS of all rows. Both bounds hold whatever the size of the table.
+from airloom.session import cut
+from airloom.tables import small_side
+
+#: A key is hot if it has at least HOT_ROWS rows, so there are at most rows / HOT_ROWS of them.
 HOT_ROWS = 200_000
-HOT_KEYS = 50
-SPLITS = 64
+#: Quantiles taken of a hot key's order; it is cut at as many of them as its size asks for.
+QUANTILES = 4_096
+
+
+def hot_keys(df: DataFrame, keys: list[str], rows: int = HOT_ROWS) -> DataFrame | None:
+    """(keys, __n) of every key of at least ``rows`` rows, cut; None if there are none. Counted before the shuffle."""
+    hot = cut(df.groupBy(*keys).agg(F.count("*").alias("__n")).filter(F.col("__n") >= rows))
+    return None if hot.isEmpty() else hot
 
 
-def hot_keys(df: DataFrame, keys: list[str], rows: int = HOT_ROWS) -> list[tuple]:
-    """The at most HOT_KEYS largest keys of at least ``rows`` rows, with their counts (pre-aggregated before the shuffle)."""
-    top = df.groupBy(*keys).count().filter(F.col("count") >= rows).orderBy(F.desc("count")).limit(HOT_KEYS)
-    return [tuple(r) for r in top.collect()]
+def join_hot(df: DataFrame, keys: list[str], hot: DataFrame) -> DataFrame:
+    """``df`` with the columns of ``hot``, null for usual keys. Null keys equal each other."""
+    side = hot.select(*[F.col(k).alias(f"__h{i}") for i, k in enumerate(keys)], *[c for c in hot.columns if c not in keys])
+    on = [F.col(k).eqNullSafe(F.col(f"__h{i}")) for i, k in enumerate(keys)]
+    return df.join(small_side(side), on, "left").drop(*[f"__h{i}" for i in range(len(keys))])
 
 
-def _is_hot(keys: list[str], hot: list[tuple]) -> Column:
-    if len(keys) == 1:
-        return F.coalesce(F.col(keys[0]).isin([h[0] for h in hot]), F.lit(False))
-    cond = F.lit(False)
-    for h in hot:
-        one = F.lit(True)
-        for k, v in zip(keys, h):
-            one = one & F.col(k).eqNullSafe(F.lit(v))
-        cond = cond | one
-    return cond
+def parts(df: DataFrame, keys: list[str], hot: DataFrame | None, rows: int = HOT_ROWS) -> tuple[DataFrame, Column]:
+    """``df`` and a column that says into how many parts its key is to be split: one for usual keys."""
+    if hot is None:
+        return df, F.lit(1)
+    return join_hot(df, keys, hot), F.coalesce(F.ceil(F.col("__n") / rows).cast("int"), F.lit(1))
 
 
 def with_neighbours(
@@ -35,9 +39,9 @@ def with_neighbours(
 ) -> DataFrame:
     """Add ``prev`` and ``next``: structs of the named columns of the row before and after in ``keys`` by ``order``.
 
-    (keys, order) must be unique. Usual keys take one window. A hot key is cut into SPLITS ranges of ``order`` (bounds
-    from an approximate quantile of that key), each range takes its own window and only the first and last row of each
-    range (at most HOT_KEYS x SPLITS rows, broadcast) carry over. No task sees more than a range of a hot key.
+    (keys, order) must be unique. Usual keys take one window. A hot key, of which there may be any number, is cut into
+    ranges of ``order`` of about ``hot_rows`` rows (bounds from an approximate quantile of that key; at most QUANTILES of
+    them), each range takes its own window and only its first and last row carry over. No task sees more than a range.
     """
     prev_s, next_s = F.struct(*prev), F.struct(*nxt)
     w = Window.partitionBy(*keys).orderBy(order)
@@ -46,30 +50,27 @@ def with_neighbours(
         return d.withColumn("prev", F.lag(prev_s).over(w)).withColumn("next", F.lead(next_s).over(w))
 
     hot = hot_keys(df, keys, hot_rows)
-    if not hot:
+    if hot is None:
         return usual(df)
-    is_hot = _is_hot(keys, hot)
-    big = df.filter(is_hot)
-    bounds = big.groupBy(*keys).agg(
-        F.percentile_approx(order, F.array(*[F.lit(i / SPLITS) for i in range(1, SPLITS)]), F.lit(10_000)).alias("__bounds")
-    )
-    on = [F.col(f"b.{k}").eqNullSafe(F.col(f"d.{k}")) for k in keys]
-    cut = big.alias("d").join(F.broadcast(bounds.alias("b")), on).select("d.*", "b.__bounds")
-    cut = cut.withColumn("__range", F.size(F.filter("__bounds", lambda b: b <= F.col(order)))).drop("__bounds")
-    edges = cut.groupBy(*keys, "__range").agg(
+    marked = join_hot(df, keys, hot)
+    big = marked.filter("__n is not null")
+    fine = F.percentile_approx(order, F.array(*[F.lit(i / QUANTILES) for i in range(1, QUANTILES)]), F.lit(10 * QUANTILES))
+    step = F.greatest(F.lit(1), F.floor(F.lit(QUANTILES) * hot_rows / F.max("__n")).cast("int"))
+    bounds = cut(big.groupBy(*keys).agg(fine.alias("__all"), step.alias("__step")).select(
+        *keys, F.filter("__all", lambda _, i: (i + 1) % F.col("__step") == 0).alias("__bounds")
+    ))
+    ranged = join_hot(big, keys, bounds)
+    ranged = ranged.withColumn("__range", F.size(F.filter("__bounds", lambda b: b <= F.col(order)))).drop("__bounds", "__n")
+    edges = ranged.groupBy(*keys, "__range").agg(
         F.min_by(next_s, order).alias("__first"), F.max_by(prev_s, order).alias("__last")
     )
     over = Window.partitionBy(*keys).orderBy("__range")
-    edges = edges.select(
-        *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)],
-        F.col("__range").alias("__r"),
-        F.lag("__last").over(over).alias("__before"),
-        F.lead("__first").over(over).alias("__after"),
-    )
+    edges = cut(edges.select(
+        *keys, "__range", F.lag("__last").over(over).alias("__before"), F.lead("__first").over(over).alias("__after")
+    ))
     wr = Window.partitionBy(*keys, "__range").orderBy(order)
-    inner = cut.withColumn("prev", F.lag(prev_s).over(wr)).withColumn("next", F.lead(next_s).over(wr))
-    on = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]
-    done = inner.join(F.broadcast(edges), [*on, F.col("__range") == F.col("__r")])
+    inner = ranged.withColumn("prev", F.lag(prev_s).over(wr)).withColumn("next", F.lead(next_s).over(wr))
+    done = join_hot(inner, [*keys, "__range"], edges)
     done = done.withColumn("prev", F.coalesce("prev", "__before")).withColumn("next", F.coalesce("next", "__after"))
     done = done.select(*df.columns, "prev", "next")
-    return usual(df.filter(~is_hot)).select(*df.columns, "prev", "next").unionByName(done)
+    return usual(marked.filter("__n is null").drop("__n")).select(*df.columns, "prev", "next").unionByName(done)

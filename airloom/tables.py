@@ -6,11 +6,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows up to which a side is taken as small; above it the plain join (shuffle) is used.
+#: Rows and bytes up to which a side is taken as small; above either the plain join (shuffle) is used.
 SMALL_ROWS = 200_000
+SMALL_BYTES = 64 << 20
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """``df`` over all cores where its scan has fewer partitions than that (small files), else as it is, unshuffled."""
+    """``df`` over all cores where its scan has fewer partitions than that, else as it is, unshuffled.
+
+    What is shuffled is therefore less than one scan partition (spark.sql.files.maxPartitionBytes) for each core.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
 
@@ -22,9 +26,25 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_side(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it is counted to have at most ``max_rows`` rows, else ``df`` itself."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+def _width(field: T.StructField) -> Column:
+    """About how many bytes a column takes in a row."""
+    if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(field.name), F.lit(0)) + 8
+    if isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
+        return F.octet_length(F.to_json(F.struct(F.col(field.name)))) + 8
+    return F.lit(8)
+
+
+def small_side(df: DataFrame, max_rows: int = SMALL_ROWS, max_bytes: int = SMALL_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if it is measured to have at most ``max_rows`` rows and ``max_bytes``, else ``df`` itself.
+
+    Measuring runs the side once more (never past ``max_rows`` rows), so a side that is dear to work out is cut first.
+    """
+    width = F.lit(0).cast("long")
+    for f in df.schema.fields:
+        width = width + _width(f)
+    n, size = df.limit(max_rows + 1).select(width.alias("w")).agg(F.count("*"), F.sum("w")).first()
+    return F.broadcast(df) if n <= max_rows and (size or 0) <= max_bytes else df
 
 
 def plain(col: Column | str) -> Column:

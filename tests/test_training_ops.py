@@ -257,6 +257,71 @@ def test_fallback_pairs(spark):
     }
 
 
+def test_near_pairs_share_a_dense_block(spark, monkeypatch):
+    """The largest number of candidates that one task looks at falls with the number of shares, and no pair is lost."""
+    rnd = random.Random(1)
+    pts = [(i, 48.0 + rnd.random() * 0.02, 11.0 + rnd.random() * 0.02) for i in range(400)] + [(1000 + i, 48.01, 11.01) for i in range(60)]
+    df = spark.createDataFrame(pts, "id long, lat double, lon double")
+    want = brute_pairs(pts, 2)
+    seen = {}
+    for rows in (10**9, 60, 5):
+        clean = df.withColumn("moves", F.lit(False))
+        marked = nearby._blocks(clean, 2.0)
+        marked, shares = skew.parts(marked, ["strip", "block"], skew.hot_keys(marked, ["strip", "block"], rows), rows)
+        dealt = marked.filter("own").select("strip", "block", F.pmod(F.xxhash64("id", "x"), shares).alias("share"), "x", "id").toPandas()
+        every = marked.select("strip", "block", "x", "id").toPandas()
+        work = {}
+        for s, b, k, x, i in dealt.itertuples(index=False):
+            near = every[(every.strip == s) & (every.block == b)]
+            work[(s, b, k)] = work.get((s, b, k), 0) + int((((near.x > x) | ((near.x == x) & (near.id > i))) & (near.x <= x + 0.03)).sum())
+        seen[rows] = max(work.values())
+        got = [tuple(r) for r in nearby.near_pairs(df, 2, rows).select("id_a", "id_b").collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    assert seen[60] < seen[10**9] / 4 and seen[5] < seen[60] / 4
+
+
+def test_near_pairs_of_one_id_with_very_many_positions(spark):
+    pts = [(1, 10.0 + i * 0.001, 20.0) for i in range(500)] + [(2, 10.2, 20.001), (3, -5.0, 1.0)]
+    got = nearby.near_pairs(spark.createDataFrame(pts * 2, "id long, lat double, lon double"), 2, 50).collect()
+    assert [(r["id_a"], r["id_b"]) for r in got] == [(1, 2)] and got[0]["km"] < 0.2
+
+
+def test_containing_brute_force(spark):
+    rnd = random.Random(6)
+    rings = {f"r{k}": [(la + rnd.uniform(2, 9) * math.sin(t), lo + rnd.uniform(2, 9) * math.cos(t)) for t in (i * math.pi / 6 for i in range(12))] for k, (la, lo) in enumerate([(0, 0), (3, 4), (50, -100), (-70, 160)])}
+    pts = [(i, rnd.uniform(-90, 90), rnd.uniform(-180, 180)) for i in range(200)] + [(1000 + i, rnd.uniform(-12, 15), rnd.uniform(-12, 15)) for i in range(300)] + [(5000, None, 1.0), (5001, 99.0, 1.0), (None, 1.0, 1.0)]
+
+    def inside(ring, lat, lon):
+        odd = False
+        for (a, x), (b, y) in zip(ring, ring[1:] + ring[:1]):
+            if (a <= lat) != (b <= lat) and x + (lat - a) / (b - a) * (y - x) <= lon:
+                odd = not odd
+        return odd
+
+    want = {(i, k) for i, la, lo in pts[:500] for k, r in rings.items() if inside(r, la, lo)}
+    regions = spark.createDataFrame([(k, [(float(a), float(b)) for a, b in r]) for k, r in rings.items()] + [("line", [(0.0, 0.0), (1.0, 1.0)]), ("none", None)], "region_id string, ring array<struct<lat: double, lon: double>>")
+    df = spark.createDataFrame(pts + pts[:40], "id long, lat double, lon double").withColumn("strip", F.lit(1))
+    got = [tuple(r) for r in nearby.containing(df, regions.union(regions.limit(1))).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 50
+    assert nearby.containing(df, regions.limit(0)).count() == 0 and nearby.containing(df.limit(0), regions).count() == 0
+
+
+def test_any_number_of_hot_keys(spark):
+    """Sixty keys above the bound, none of them special: neighbours and orphans are as without any."""
+    df = spark.range(6000).select(F.concat(F.lit("k"), F.col("id") % 60).alias("k"), F.col("id").alias("o"))
+    a = {tuple(map(str, r)) for r in skew.with_neighbours(df, ["k"], "o", ["o"], ["o"], 10**9).collect()}
+    b = {tuple(map(str, r)) for r in skew.with_neighbours(df, ["k"], "o", ["o"], ["o"], 20).collect()}
+    assert a == b and len(a) == 6000
+    hot = skew.hot_keys(df, ["k"], 20)
+    assert hot.count() == 60
+    marked, parts = skew.parts(df, ["k"], hot, 20)
+    assert {r[0] for r in marked.select(parts).distinct().collect()} == {5}
+    refs = spark.createDataFrame([("t", "f", i, "x", f"K{i % 60}", day(i % 40)) for i in range(1200)], "table_name string, field_name string, row_key long, target string, key string, at timestamp_ntz")
+    held = spark.createDataFrame([("x", f"K{i}", day(10), day(30)) for i in range(0, 60, 2)], "target string, key string, at timestamp_ntz, ends timestamp_ntz")
+    got = [{tuple(r) for r in references.orphans(refs, held, n).collect()} for n in (10**9, 3)]
+    assert got[0] == got[1] and got[0]
+
+
 def test_near_pairs_dirt(spark):
     bad = [(1, None, 1.0), (2, 1.0, None), (3, 0.0, 0.0), (4, 91.0, 0.0), (5, 1.0, 181.0), (6, math.nan, 1.0), (7, 0.0, 1.0), (7, 0.0, 1.001), (8, 0.0, 1.002), (None, 0.0, 1.0)]
     got = [tuple(r) for r in nearby.near_pairs(spark.createDataFrame(bad, "id long, lat double, lon double").withColumn("x", F.lit(1)), 2).select("id_a", "id_b").collect()]
