@@ -43,7 +43,7 @@ def p5_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return rejects.split_lines(read(spark, d, "raw_csv_lines"))[1].select("line_id", "reason")
+    return rejects.failures(read(spark, d, "raw_csv_lines"), rejects.rule_table(spark)).select("line_id", "reason")
 
 
 def p6_clean(spark: SparkSession, d: str) -> DataFrame:

@@ -197,6 +197,19 @@ def test_rejects(spark):
     assert cells[2][5] == 'Turf, "soft"' and cells[3][5] == "a\nb" and cells[4][5] == "" and len(cells[len(LINES) - 1][0]) == 100_000
 
 
+def test_rejects_leave_cells_as_they_are(spark):
+    odd = ["a\u0001b", "\u0002", "\u0002a\u0001\u0002b", "\ufffd", '"x\u0001,\u0002y"']
+    df = spark.createDataFrame([(i, "other", ",".join([c, *"x" * 19])) for i, c in enumerate(odd)], "line_id long, dataset_name string, raw_line string")
+    clean, bad = rejects.split_lines(df)
+    assert bad.count() == 0 and {r["line_id"]: r["cells"][0] for r in clean.collect()} == {i: c.strip('"') for i, c in enumerate(odd)}
+
+
+def test_rejects_parse_once(spark):
+    df = spark.createDataFrame([(1, "runways", GOOD)], "line_id long, dataset_name string, raw_line string")
+    plan = rejects.failures(df, rejects.rule_table(spark))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("raw_line") > 0 and plan.count("Union") == 0
+
+
 def test_rejects_empty(spark):
     clean, bad = rejects.split_lines(spark.createDataFrame([], "line_id long, dataset_name string, raw_line string"))
     assert clean.count() == 0 and bad.count() == 0
