@@ -266,23 +266,37 @@ def test_leaks(spark):
         (11, items[1][1] + " " + filler(10) + " " + items[2][1]), (1, f"{filler(50)} {items[3][1].upper()} {filler(30)}"), (12, filler(60_000) + " " + items[5][1]),
     ]
     d = spark.createDataFrame(docs, "doc_id long, text string").withColumn("item_id", F.lit("clash"))
-    it = spark.createDataFrame([*items, items[0], (50, None), (51, ""), (52, "two words"), (None, "a b c d e")], "item_id long, text string")
+    it = spark.createDataFrame([*items, items[0], (50, None), (51, ""), (52, "... --"), (None, "a b c d e")], "item_id long, text string")
     want = {(1, 3), (2, 3), (6, 3), (7, 3), (10, 3), (11, 1), (11, 2), (12, 5)}
-    for block in (leaks.BLOCK_WORDS, 200):
-        rows = leaks.leaks(d, it, block_words=block).collect()
+    for most in (leaks.FILTER_BYTES, 100):  # with the filter, and without one as for more n-grams than it may hold
+        rows = leaks.leaks(d, it, filter_bytes=most).collect()
         assert {(r["doc_id"], r["item_id"]) for r in rows} == want and len(rows) == len(want)
     assert leaks.leaks(d, it.limit(0)).count() == 0 and leaks.leaks(d.limit(0), it).count() == 0
 
 
 def test_leaks_of_short_items(spark):
     """A verbatim copy, or half, of an item of few words is found whatever number of seeds it has."""
-    texts = {n: " ".join(f"short{n}x{i}" for i in range(n)) for n in range(3, 18)}
+    texts = {n: " ".join(f"short{n}x{i}" for i in range(n)) for n in range(1, 18)}
     it = spark.createDataFrame(list(texts.items()), "item_id long, text string")
-    half = {100 + n: " ".join(t.split()[: -(-n // 2)]) for n, t in texts.items() if n >= 6}
+    half = {100 + n: " ".join(t.split()[: -(-n // 2)]) for n, t in texts.items()}
     d = spark.createDataFrame([(n, f"before {t} after") for n, t in {**texts, **half}.items()], "doc_id long, text string")
     assert {(r["doc_id"], r["item_id"]) for r in leaks.leaks(d, it).collect()} == {(n, n) for n in texts} | {(n, n - 100) for n in half}
 
 
+def test_leaks_scan_the_corpus_once(spark, tmp_path, monkeypatch):
+    """Items of any number, one pass over the texts; what is joined after it comes from what that pass wrote."""
+    rnd = random.Random(11)
+    spark.createDataFrame([(i, f"{t} tail") for i, t in _items(rnd, 60)], "doc_id long, text string").write.parquet(f"{tmp_path}/d")
+    passes = []
+    real = leaks._scan
+    monkeypatch.setattr(leaks, "_scan", lambda *a: passes.append(1) or real(*a))
+    rnd = random.Random(11)
+    d = spark.read.parquet(f"{tmp_path}/d")
+    out = leaks.leaks(d, spark.createDataFrame(_items(rnd, 60), "item_id long, text string"))
+    assert "FileScan" not in out._jdf.queryExecution().executedPlan().toString() and len(passes) == 1
+    assert {(r["doc_id"], r["item_id"]) for r in out.collect()} == {(i, i) for i in range(60)}
+
+
 def test_alignment_against_brute_force():
     """On short texts the aligned words are those of the best local alignment found by trying all of them."""
     rnd = random.Random(9)
