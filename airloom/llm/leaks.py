@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import re
 import unicodedata
-import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,7 +41,15 @@ BITS, PROBES, FILTER_BYTES = 12, 4, 64 << 20
 
 _MARKUP = re.compile(r"<[^<>]{1,200}>|&(?:#\d{1,6}|[A-Za-z]{2,8});")
 _HIDDEN = re.compile("[­​-‏⁠﻿]")
-_MARKS = re.compile("[" + "".join(re.escape(chr(c)) for c in range(sys.maxunicode + 1) if unicodedata.combining(chr(c))) + "]+")
+def _combining(most: int) -> str:
+    """The combining marks up to ``most`` as ranges of a character class."""
+    marks = [c for c in range(most + 1) if unicodedata.combining(chr(c))]
+    starts = [c for c in marks if not unicodedata.combining(chr(c - 1))]
+    return "".join(f"{chr(a)}-{chr(next(c for c in range(a, most + 2) if c > most or not unicodedata.combining(chr(c))) - 1)}" for a in starts)
+
+
+# one bitmap up to U+FFFF; what lies beyond is rare and looked at only where a text has it
+_MARKS = re.compile(f"[{_combining(0xFFFF)}]+")
 _BROKEN = re.compile(r"(?<=[^\W\d_])[-‐]\s*\n\s*(?=[^\W\d_])")
 _WORDS = re.compile(r"[^\W_]+")
 
@@ -53,6 +60,8 @@ def words(text: str) -> list[str]:
     if not t.isascii():
         t = _HIDDEN.sub("", t)
         t = _MARKS.sub("", unicodedata.normalize("NFKD", t))
+        if max(t) > "\uffff":
+            t = "".join(c for c in t if c <= "\uffff" or not unicodedata.combining(c))
     if "-\n" in t or "‐" in t:
         t = _BROKEN.sub("", t)
     return _WORDS.findall(t.casefold())
