@@ -124,6 +124,16 @@ def mhz(khz: Column) -> Column:
     return F.round(khz / 1000, 3)
 
 
+def khz(mhz_: Column) -> Column:
+    return F.round(mhz_ * 1000).cast("int")
+
+
+def navaid_identity(kind: Column, ident: Column, region: Column) -> Column:
+    """Class, ident and region; null where the ident is missing."""
+    i = F.nullif(F.upper(F.trim(ident)), F.lit(""))
+    return F.concat(navaid_class(kind), F.lit(":"), i, F.lit(":"), F.coalesce(F.upper(F.trim(region)), F.lit("")))
+
+
 def canonical_id(prefix: str, key: Column) -> Column:
     return F.concat(F.lit(prefix + ":"), F.substring(F.sha2(key, 256), 1, 16))
 

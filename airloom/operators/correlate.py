@@ -70,10 +70,10 @@ def runway_ils(runways: DataFrame, ils: DataFrame) -> DataFrame:
     return j.withColumn("delta_deg", delta).withColumn("class", F.when(delta < 5, "ALIGNED").when(delta <= 30, "OFFSET").otherwise("SUSPICIOUS"))
 
 
-def ttl_latest(rows: DataFrame, keys: list[str], order: str, now: Column, ttl: str) -> DataFrame:
-    """The newest row of each key that has not expired at ``now``."""
+def ttl_latest(rows: DataFrame, keys: list[str], order: str, now: Column, ttl: str, tie: str | None = None) -> DataFrame:
+    """The newest row of each key, of equals the one with the highest ``tie``, that has not expired at ``now``."""
     cols = rows.columns
-    g = rows.filter(F.col(order) <= now).groupBy(*keys).agg(F.max_by(F.struct(*cols), F.col(order)).alias("r")).select("r.*")
+    g = rows.filter(F.col(order) <= now).groupBy(*keys).agg(F.max_by(F.struct(*cols), F.struct(order, *([tie] if tie else []))).alias("r")).select("r.*")
     return g.filter(F.col(order) + F.expr(f"interval {ttl}") > now)
 
 

@@ -95,3 +95,11 @@ def flyable(legs: DataFrame) -> DataFrame:
     """Procedures with whether no error was found."""
     errors = validate(legs).filter("severity = 'error'").select(*KEY).distinct().withColumn("__e", F.lit(True))
     return legs.select(*KEY).distinct().join(errors, KEY, "left").select(*KEY, F.col("__e").isNull().alias("is_flyable"))
+
+
+def discontinuities(legs: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Legs (start, end, connector) that do not begin where the one before them ended; a missing end on either side and
+    connectors give no finding."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    j = legs.withColumn("previous_end", F.lag("end").over(w))
+    return j.filter((F.col("start") != F.col("previous_end")) & ~F.coalesce("connector", F.lit(False)))

@@ -6,8 +6,9 @@ import math
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from airloom.functions.geo import haversine_nm
@@ -26,22 +27,39 @@ class Phase:
     airborne: bool = False
 
 
-def raw_phase(s: Phase, on_ground: bool, speed: float, altitude: float, agl: float | None, vs: float, to_go: float, dep: float, dest: float, cruise: float) -> str:
-    if on_ground:
-        if not s.airborne:
-            return "preflight" if speed < 5 else "taxi_out" if speed < 40 else "takeoff"
-        return "landing" if speed > 35 else "taxi_in" if speed > 3 else "parked"
-    above_dep, above_dest = altitude - dep, altitude - dest
-    agl = above_dep if agl is None else agl
-    if not s.airborne and above_dep < 1500 and vs > 300:
-        return "initial_climb"
-    if s.airborne and to_go < 15 and above_dest < 3000 and vs > 700:
-        return "go_around"
-    if to_go < 25 and (above_dest < 4500 or agl < 4000) and vs <= 100:
-        return "approach"
-    if vs < -350 and (to_go < 150 or altitude < cruise - 1000):
-        return "descent"
-    return "climb" if vs > 350 and altitude < cruise - 500 else "cruise"
+#: Phase, on the ground, flown before, and what else must hold; the first row that holds is the phase.
+PHASES = [
+    ("preflight", True, False, "speed < 5"),
+    ("taxi_out", True, False, "speed < 40"),
+    ("takeoff", True, False, "true"),
+    ("landing", True, True, "speed > 35"),
+    ("taxi_in", True, True, "speed > 3"),
+    ("parked", True, True, "true"),
+    ("initial_climb", False, False, "over_departure < 1500 and vs > 300"),
+    ("go_around", False, True, "to_go < 15 and over_destination < 3000 and vs > 700"),
+    ("approach", False, None, "to_go < 25 and vs <= 100 and (over_destination < 4500 or agl < 4000)"),
+    ("descent", False, None, "vs < -350 and (to_go < 150 or under_cruise > 1000)"),
+    ("climb", False, None, "vs > 350 and under_cruise > 500"),
+    ("cruise", False, None, "true"),
+]
+
+
+def phase_candidates(events: DataFrame, dep: float, dest: float, cruise: float) -> DataFrame:
+    """Add ``fresh`` and ``flown``: the phase that a sample looks like before and after the flight has been in the air.
+
+    Which of them counts depends on the samples before; the conditions themselves do not and stay in the JVM. A missing
+    measurement meets no condition on it.
+    """
+    seen = events.withColumns({
+        "over_departure": F.col("altitude") - dep, "over_destination": F.col("altitude") - dest, "under_cruise": F.lit(cruise) - F.col("altitude"),
+    })
+    seen = seen.withColumn("agl", F.coalesce("agl", "over_departure") if "agl" in events.columns else F.col("over_departure"))
+
+    def first(flown: bool) -> Column:
+        rows = [F.when((F.coalesce("on_ground", F.lit(False)) == ground) & F.expr(rule), phase) for phase, ground, when, rule in PHASES if when in (flown, None)]
+        return F.coalesce(*rows)
+
+    return seen.withColumns({"fresh": first(False), "flown": first(True)}).select(*events.columns, "fresh", "flown")
 
 
 def step(s: Phase, raw: str) -> tuple[Phase, bool]:
@@ -74,6 +92,32 @@ def advance(leg: int, along_nm: float, length_nm: float, to_fix_nm: float, kind:
     return leg + 1 if along_nm >= length_nm - 0.2 or to_fix_nm <= RADIUS_NM.get(kind, 2.5) else leg
 
 
+def _run_ends(x: np.ndarray) -> np.ndarray:
+    """For each position the end of the run of equal values that it lies in."""
+    cuts = np.append(np.nonzero(x[1:] != x[:-1])[0] + 1, len(x))
+    return cuts[np.searchsorted(cuts, np.arange(len(x)), side="right")]
+
+
+def count_up(state: Phase, fresh: np.ndarray, flown: np.ndarray) -> tuple[Phase, np.ndarray, np.ndarray]:
+    """(state after, phase of each sample, whether it changed there); samples that confirm the phase are taken in runs."""
+    n = len(fresh)
+    out, changed = np.empty(n, dtype=object), np.zeros(n, dtype=bool)
+    if not n:
+        return state, out, changed
+    ends = {False: _run_ends(fresh), True: _run_ends(flown)}
+    i = 0
+    while i < n:
+        raw = flown if state.airborne else fresh
+        if raw[i] == state.phase:
+            j = int(ends[state.airborne][i])
+            out[i:j] = state.phase
+            state, i = Phase(state.phase, 0, state.airborne), j
+        else:
+            state, changed[i] = step(state, raw[i])
+            out[i], i = state.phase, i + 1
+    return state, out, changed
+
+
 def replay(events: DataFrame, dep: float = 0.0, dest: float = 0.0, cruise: float = 35_000.0) -> DataFrame:
     """Phase of every sample of every session (session_id, ts, event_id, on_ground, speed, altitude, vs, to_go).
 
@@ -83,18 +127,19 @@ def replay(events: DataFrame, dep: float = 0.0, dest: float = 0.0, cruise: float
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         session, state = None, Phase()
         for b in batches:
-            phases, changed = [], []
-            for r in b.itertuples(index=False):
-                if r.session_id != session:
-                    session, state = r.session_id, Phase()
-                raw = raw_phase(state, bool(r.on_ground), r.speed, r.altitude, None, r.vs, r.to_go, dep, dest, cruise)
-                state, moved = step(state, raw)
-                phases.append(state.phase)
-                changed.append(moved)
-            yield pd.DataFrame({"session_id": b["session_id"], "event_id": b["event_id"], "phase": phases, "changed": changed})
+            ids = b["session_id"].to_numpy()
+            fresh, flown = b["fresh"].to_numpy(), b["flown"].to_numpy()
+            starts = np.append(0, np.nonzero(ids[1:] != ids[:-1])[0] + 1) if len(ids) else np.empty(0, dtype=int)
+            phases, changed = np.empty(len(b), dtype=object), np.zeros(len(b), dtype=bool)
+            for i, j in zip(starts, np.append(starts[1:], len(ids))):
+                if ids[i] != session:
+                    session, state = ids[i], Phase()
+                state, phases[i:j], changed[i:j] = count_up(state, fresh[i:j], flown[i:j])
+            yield pd.DataFrame({"session_id": ids, "event_id": b["event_id"], "phase": phases, "changed": changed})
 
     kind = events.schema["session_id"].dataType.simpleString()
-    spread = events.repartition("session_id").sortWithinPartitions("session_id", "ts", "event_id")
+    seen = phase_candidates(events, dep, dest, cruise).select("session_id", "ts", "event_id", "fresh", "flown")
+    spread = seen.repartition("session_id").sortWithinPartitions("session_id", "ts", "event_id")
     return spread.mapInPandas(run, f"session_id {kind}, event_id long, phase string, changed boolean")
 
 
@@ -107,6 +152,22 @@ def progress(events: DataFrame) -> DataFrame:
     return hops.withColumn("flown_nm", flown)
 
 
+def remaining(fixes: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Add ``remaining_nm``: the distance along the fixes (lat, lon) of a key that follow this one."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    legs = fixes.withColumn("__nm", haversine_nm(F.lag("lat").over(w), F.lag("lon").over(w), F.col("lat"), F.col("lon")))
+    ahead = F.sum("__nm").over(w.rowsBetween(1, Window.unboundedFollowing))
+    return legs.withColumn("remaining_nm", F.coalesce(ahead, F.lit(0.0))).drop("__nm")
+
+
+def deltas(snapshots: DataFrame, keys: list[str], order: list[str], fields: list[str]) -> DataFrame:
+    """Add ``fields``: the names of those that differ from the snapshot before of the same key, none for the first."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    before = snapshots.withColumn("__p", F.lag(F.struct(*fields)).over(w))
+    names = F.array_compact(F.array(*[F.when(~F.col(f).eqNullSafe(F.col(f"__p.{f}")), F.lit(f)) for f in fields]))
+    return before.withColumn("fields", F.when(F.col("__p").isNotNull(), names).otherwise(F.array().cast("array<string>"))).drop("__p")
+
+
 def estimates(distance_nm, groundspeed, paused):
     """Seconds to fly a distance; null under 15 kt or when paused."""
     return F.when((groundspeed >= 15) & ~paused, F.round(distance_nm / groundspeed * 3600).cast("long"))

@@ -706,7 +706,19 @@ def _samples(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query(None)
+_SEEN = """with recursive e as (select user_id session_id, event_id, ts, event_id % 5 < 2 on_ground, coalesce(value, 0) speed, event_id % 400 * 100 altitude, event_id % 41 * 100 - 2000 vs, event_id % 300 to_go from events),
+x as (select *, altitude over_departure, altitude over_destination, altitude agl, 35000 - altitude under_cruise from e),
+s as (select session_id, event_id, row_number() over (partition by session_id order by ts, event_id) n,
+  case {fresh} end fresh, case {flown} end flown from x),
+r as (select session_id, 0::bigint n, 0::bigint event_id, 'preflight' phase, 0 ticks, false airborne, false changed from (select distinct session_id from s)
+  union all select session_id, n, event_id, case when moved then raw else phase end, case when moved or raw = phase then 0 else ticks + 1 end, airborne or (moved and raw in ({air})), moved from (
+    select r.session_id, s.n, s.event_id, r.phase, r.ticks, r.airborne, case when r.airborne then s.flown else s.fresh end raw,
+      raw <> r.phase and r.ticks + 1 >= case {ticks} else 2 end moved from r join s on s.session_id = r.session_id and s.n = r.n + 1))
+select session_id, event_id, phase, changed from r where n > 0"""
+_WHEN = lambda flown: " ".join(f"when on_ground = {g} and ({rule}) then '{p}'" for p, g, f, rule in tracking.PHASES if f in (flown, None))
+
+
+@query(_SEEN.format(fresh=_WHEN(False), flown=_WHEN(True), air=", ".join(f"'{p}'" for p in sorted(tracking.AIRBORNE)), ticks=" ".join(f"when raw = '{p}' then {n}" for p, n in tracking.TICKS.items())))
 def telemetry_phase(spark: SparkSession, d: str) -> DataFrame:
     """ST1 to ST3: the phase of every sample of every session."""
     return tracking.replay(_samples(spark, d))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from airloom.plans import formats, reference, training
+from airloom.plans import flows, formats, functions, reference, training
 
-QUERIES = {**training.QUERIES, **reference.QUERIES, **formats.QUERIES}
-SQL = {**training.SQL, **reference.SQL, **formats.SQL}
+QUERIES = {**training.QUERIES, **reference.QUERIES, **formats.QUERIES, **functions.QUERIES, **flows.QUERIES}
+SQL = {**training.SQL, **reference.SQL, **formats.SQL, **functions.SQL, **flows.SQL}

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from airloom.operators.tracking import STALE_S, Phase, raw_phase, step
+from airloom.operators.tracking import STALE_S, Phase, count_up, phase_candidates
 
 OUTPUT = "session_id long, event_id long, phase string, flown_nm double, status string"
 STATE = "phase string, ticks int, airborne boolean, lat double, lon double, flown double, event_id long"
@@ -36,20 +36,21 @@ def track(stream: DataFrame, dep: float = 0.0, dest: float = 0.0, cruise: float
             yield pd.DataFrame([(key[0], last, phase, flown, "STALE")], columns=["session_id", "event_id", "phase", "flown_nm", "status"])
             return
         phase, ticks, air, lat, lon, flown, last = state.get if state.exists else ("preflight", 0, False, None, None, 0.0, -1)
-        s, out = Phase(phase, ticks, air), []
-        for r in pd.concat(list(batches)).sort_values(["ts", "event_id"]).itertuples(index=False):
-            if r.event_id <= last:
-                continue
-            s, _ = step(s, raw_phase(s, bool(r.on_ground), r.speed, r.altitude, None, r.vs, r.to_go, dep, dest, cruise))
+        out = []
+        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
+        newest = rows["event_id"].cummax().shift(fill_value=last).clip(lower=last)
+        rows = rows[rows["event_id"] > newest]
+        s, phases, _ = count_up(Phase(phase, ticks, air), rows["fresh"].to_numpy(), rows["flown"].to_numpy())
+        for r, now in zip(rows.itertuples(index=False), phases):
             if lat is not None and (hop := _nm(lat, lon, r.lat, r.lon)) < 50:
                 flown += hop
             lat, lon, last = float(r.lat), float(r.lon), int(r.event_id)
-            out.append((key[0], last, s.phase, flown, "LIVE"))
+            out.append((key[0], last, now, flown, "LIVE"))
         state.update((s.phase, s.ticks, s.airborne, lat, lon, flown, last))
         state.setTimeoutDuration(stale_ms)
         yield pd.DataFrame(out, columns=["session_id", "event_id", "phase", "flown_nm", "status"])
 
-    return stream.groupBy("session_id").applyInPandasWithState(update, OUTPUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return phase_candidates(stream, dep, dest, cruise).groupBy("session_id").applyInPandasWithState(update, OUTPUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def ring(events: DataFrame, keep: int = 200) -> DataFrame:
