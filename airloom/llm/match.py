@@ -57,24 +57,33 @@ def fold(s: str) -> str:
 
 
 def distance(a: str, b: str, most: int) -> int:
-    """Edits (insert, delete, change, swap of neighbours) between two words, or most + 1 if there are more."""
+    """Edits (insert, delete, change, swap of neighbours) between two words, or most + 1 if there are more.
+
+    One column of the table of edits is two bit vectors, of the cells that are one more and one less than those above
+    them, so a letter of ``b`` costs a few operations on whole numbers however long ``a`` is.
+    """
     if a == b:
         return 0
     if abs(len(a) - len(b)) > most:
         return most + 1
-    before: list[int] = []
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        new = [i]
-        for j, y in enumerate(b, 1):
-            v = min(row[j] + 1, new[j - 1] + 1, row[j - 1] + (x != y))
-            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                v = min(v, before[j - 2] + 1)
-            new.append(v)
-        if min(new) > most:
-            return most + 1
-        before, row = row, new
-    return row[-1]
+    if not a or not b:
+        return min(len(a) + len(b), most + 1)
+    at: dict[str, int] = {}
+    for i, x in enumerate(a):
+        at[x] = at.get(x, 0) | 1 << i
+    whole, last = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    more, less, diagonal, met_before, edits = whole, 0, 0, 0, len(a)
+    for y in b:
+        met = at.get(y, 0)
+        swapped = ((~diagonal & met) << 1) & met_before
+        diagonal = (((met & more) + more) ^ more) | met | less | swapped
+        up, down = less | ~(diagonal | more), diagonal & more
+        edits += bool(up & last) - bool(down & last)
+        up, down = up << 1 | 1, down << 1
+        more, less = (down | ~(diagonal | up)) & whole, up & diagonal & whole
+        diagonal &= whole
+        met_before = met
+    return min(edits, most + 1)
 
 
 @lru_cache(maxsize=100_000)
@@ -184,48 +193,77 @@ def _coarse(x: float) -> float:
     return 0.0
 
 
-def confidence(e: dict, r: dict, km: float, turned: float) -> float:
-    """How sure it is that entity ``e`` and record ``r`` are the same thing, from 0 to 1.
-
-    km is their distance, turned the least distance with the record's coordinates swapped or a sign flipped (both NaN
-    where either has no position). Weights: name 0.4, position 0.3, elevation 0.15, ident 0.15; a missing value counts
-    half. Kinds or special uses that differ, or another country, each take away.
-    """
-    s = max(place_similarity(e["places"], r["places"]), 0.9 * place_similarity(e["places"], r["town"]) if not r["places"] else 0.0)
+def _name_score(places_e: tuple, places_r: tuple, town_e: tuple, town_r: tuple) -> float:
+    """How alike the names are, from 0 to 1, helped by the towns; -1 where they are too different for any pair."""
+    s = max(place_similarity(places_e, places_r), 0.9 * place_similarity(places_e, town_r) if not places_r else 0.0)
     if s < 0.6:
-        return 0.0
+        return -1.0
     name = min(1.0, max(0.0, (s - 0.5) / 0.4))
-    if s < 0.8 and e["town"] and r["town"]:
-        name = max(name, 0.8 * min(1.0, max(0.0, (place_similarity(e["town"], r["town"]) - 0.5) / 0.4)))
-    same_ident = bool(e["ident"]) and e["ident"] == r["ident"]
-    if np.isnan(km):
-        place = 0.5
-    else:
-        spread = max(_coarse(r["lat"]), _coarse(r["lon"])) if abs(r["lat"]) <= 90 else 0.0
-        place = float(np.clip(1.25 - (km - spread) / 4.0, 0.0, 1.0)) if km > spread else 1.0
-        if place < 0.7 and turned <= 3.0:
-            place = 0.75
-    ft = [r["elevation"], r["elevation"] * 3.28084, r["elevation"] / 3.28084]
-    if not (np.isfinite(e["elevation"]) and np.isfinite(r["elevation"])) or not -2000 <= r["elevation"] <= 30_000:
-        high = 0.5
-    else:
-        gap = min(abs(e["elevation"] - ft[0]), abs(e["elevation"] - ft[1]) + 3, abs(e["elevation"] - ft[2]) + 3)
-        high = 1.0 if gap <= 20 else 0.6 if gap <= 40 else 0.0
-    total = 0.4 * name + 0.3 * place + 0.15 * high + 0.15 * (1.0 if same_ident else 0.5)
-    total = min(1.0, total / 0.925)
-    if e["special"] != r["special"]:
-        total -= 0.35
-    if e["heli"] != r["heli"]:
-        total -= 0.35 if r["heli"] or r["typed_heli"] == e["typed_heli"] or e["heli"] else 0.1
-    if not e["heli"] and not r["heli"] and e["typed_heli"] != r["typed_heli"]:
-        total -= 0.1
-    if high == 0.0:
-        total -= 0.15
-    if place == 0.0:
-        total -= 0.3
-    if e["country"] and r["country"] and e["country"] != r["country"]:
-        total -= 0.2
-    return max(0.0, total)
+    if s < 0.8 and town_e and town_r:
+        name = max(name, 0.8 * min(1.0, max(0.0, (place_similarity(town_e, town_r) - 0.5) / 0.4)))
+    return name
+
+
+def _coded(values: list) -> np.ndarray:
+    """A number for each value, equal ones alike."""
+    known: dict = {}
+    return np.array([known.setdefault(v, len(known)) for v in values], dtype=np.int64)
+
+
+class Things:
+    """Entities and records as columns, and the confidence of any pairs of them."""
+
+    def __init__(self, rows: pd.DataFrame):
+        self.lat, self.lon = rows["lat"].to_numpy(dtype=float), rows["lon"].to_numpy(dtype=float)
+        self.elevation = rows["elevation"].to_numpy(dtype=float)
+        self.heli, self.typed = rows["heli"].to_numpy(dtype=bool), rows["typed_heli"].to_numpy(dtype=bool)
+        self.places, self.towns = ([tuple(x) for x in rows[c]] for c in ("places", "town"))
+        ident, country = rows["ident"].tolist(), rows["country"].tolist()
+        self.ident, self.has_ident = _coded(ident), np.array([bool(x) for x in ident], dtype=bool)
+        self.country, self.has_country = _coded(country), np.array([bool(x) for x in country], dtype=bool)
+        self.special = _coded([tuple(x) for x in rows["special"]])
+        self.place_code, self.town_code = _coded(self.places), _coded(self.towns)
+        self.spread = np.array([max(_coarse(a), _coarse(b)) if abs(a) <= 90 else 0.0 for a, b in zip(self.lat.tolist(), self.lon.tolist())])
+
+    def distances(self, e: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(km, least km with the record's coordinates swapped or a sign flipped); NaN where either has no position."""
+        a, b, c, d = self.lat[e], self.lon[e], self.lat[r], self.lon[r]
+        ways = ((d, c), (-c, d), (c, -d), (-c, -d), (d, -c), (-d, c))
+        return _km(a, b, c, d), np.fmin.reduce([_km(a, b, x, y) for x, y in ways])
+
+    def confidence(self, e: np.ndarray, r: np.ndarray, km: np.ndarray, turned: np.ndarray, least: float = 0.0) -> np.ndarray:
+        """How sure it is that entities ``e`` and records ``r`` are the same things, from 0 to 1; 0 for what is under ``least``.
+
+        Weights: name 0.4, position 0.3, elevation 0.15, ident 0.15; a missing value counts half. Kinds or special uses
+        that differ, or another country, each take away. All but the names is worked out for whole columns; names are
+        compared only where the rest lets a pair reach ``least``, and once for every two different names.
+        """
+        beyond = np.clip(1.25 - (km - self.spread[r]) / 4.0, 0.0, 1.0)
+        place = np.where(km > self.spread[r], beyond, 1.0)
+        place = np.where((place < 0.7) & (turned <= 3.0), 0.75, place)
+        place = np.where(np.isnan(km), 0.5, place)
+        he, hr = self.elevation[e], self.elevation[r]
+        gap = np.fmin.reduce([np.abs(he - hr), np.abs(he - hr * 3.28084) + 3, np.abs(he - hr / 3.28084) + 3])
+        unknown = ~(np.isfinite(he) & np.isfinite(hr)) | ~((hr >= -2000) & (hr <= 30_000))
+        high = np.where(unknown, 0.5, np.where(gap <= 20, 1.0, np.where(gap <= 40, 0.6, 0.0)))
+        same = self.has_ident[e] & self.has_ident[r] & (self.ident[e] == self.ident[r])
+        rest = 0.3 * place + 0.15 * high + 0.15 * np.where(same, 1.0, 0.5)
+        differ = self.heli[e] != self.heli[r]
+        firm = self.heli[r] | self.heli[e] | (self.typed[r] == self.typed[e])
+        off = 0.35 * (self.special[e] != self.special[r]) + np.where(differ, np.where(firm, 0.35, 0.1), 0.0)
+        off = off + 0.1 * (~self.heli[e] & ~self.heli[r] & (self.typed[e] != self.typed[r])) + 0.15 * (high == 0.0) + 0.3 * (place == 0.0)
+        off = off + 0.2 * (self.has_country[e] & self.has_country[r] & (self.country[e] != self.country[r]))
+        out = np.zeros(len(e))
+        can = np.nonzero(np.minimum(1.0, (0.4 + rest) / 0.925) - off >= least)[0]
+        if not len(can):
+            return out
+        kinds = np.stack([self.place_code[e[can]], self.place_code[r[can]], self.town_code[e[can]], self.town_code[r[can]]], axis=1)
+        _, first, back = np.unique(kinds, axis=0, return_index=True, return_inverse=True)
+        names = np.array([_name_score(self.places[i], self.places[j], self.towns[i], self.towns[j]) for i, j in zip(e[can][first].tolist(), r[can][first].tolist())])[back.reshape(-1)]
+        total = np.minimum(1.0, (0.4 * names + rest[can]) / 0.925) - off[can]
+        total = np.where(names < 0, 0.0, np.maximum(0.0, total))
+        out[can] = np.where(total >= least, total, 0.0)
+        return out
 
 
 def _outermost(rows: pd.DataFrame, last: bool) -> pd.DataFrame:
@@ -255,8 +293,6 @@ def _spans(ids: list[int]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sweep(edges: dict[int, list[pd.DataFrame]]):
-    columns = [c.strip().split(" ")[0] for c in _FEATURES.split(", ")]
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         got = [b for b in batches if len(b)]
         if not got:
@@ -270,11 +306,10 @@ def _sweep(edges: dict[int, list[pd.DataFrame]]):
         if not len(at) or not len(who):
             return
         way = rows["way"].to_numpy()
-        lat, lon = rows["lat"].to_numpy(dtype=float), rows["lon"].to_numpy(dtype=float)
-        ident = rows["ident"].to_numpy()
+        things, ids = Things(rows), rows["id"].to_numpy()
         k = np.searchsorted(at, who)
-        left, right, near_km, turned_km = [], [], [], []
-        lo, hi = _spans(rows["id"].to_numpy()[at].tolist())
+        found: list[pd.DataFrame] = []
+        lo, hi = _spans(ids[at].tolist())
         lo, count = lo[k], hi[k] - lo[k]
         ends = np.cumsum(count)
         a = 0
@@ -285,32 +320,14 @@ def _sweep(edges: dict[int, list[pd.DataFrame]]):
             a = z
             same = way[r] == way[e]
             r, e = r[same], e[same]
-            km = _km(lat[e], lon[e], lat[r], lon[r])
-            turned = np.fmin.reduce([_km(lat[e], lon[e], a, b) for a, b in ((lon[r], lat[r]), (-lat[r], lon[r]), (lat[r], -lon[r]), (-lat[r], -lon[r]), (lon[r], -lat[r]), (-lon[r], lat[r]))])
+            km, turned = things.distances(e, r)
             # what is far apart however the coordinates are turned is no pair, unless a position is missing
-            keep = ~(km > 90) | (turned <= 5) | (ident[e] == ident[r])
-            left.append(e[keep])
-            right.append(r[keep])
-            near_km.append(km[keep])
-            turned_km.append(turned[keep])
-        e, r, km, turned = (np.concatenate(x) for x in (left, right, near_km, turned_km))
-        pair = rows["id"].to_numpy()
-        data = {c: rows[c].tolist() for c in columns}
-        for c in ("places", "town", "special"):
-            data[c] = [tuple(x) for x in data[c]]
-        made: dict[int, dict] = {}
-
-        def row(i: int) -> dict:
-            if i not in made:
-                made[i] = {c: data[c][i] for c in columns}
-            return made[i]
-
-        out: dict[tuple[int, int], float] = {}
-        for i, j, d, t in zip(e.tolist(), r.tolist(), km.tolist(), turned.tolist()):
-            c = confidence(row(i), row(j), d, t)
-            if c >= EVIDENCE and c > out.get((pair[i], pair[j]), 0.0):
-                out[(pair[i], pair[j])] = c
-        yield pd.DataFrame({"entity_id": [k[0] for k in out], "record_id": [k[1] for k in out], "confidence": list(out.values())})
+            keep = ~(km > 90) | (turned <= 5) | (things.ident[e] == things.ident[r])
+            e, r = e[keep], r[keep]
+            c = things.confidence(e, r, km[keep], turned[keep], EVIDENCE)
+            hit = c > 0
+            found.append(pd.DataFrame({"entity_id": ids[e[hit]], "record_id": ids[r[hit]], "confidence": c[hit]}))
+        yield pd.concat(found).groupby(["entity_id", "record_id"], as_index=False).max()
 
     return run
 
@@ -357,7 +374,8 @@ def assign(pairs: DataFrame, records: DataFrame, group: str = "group_ident") ->
     An entity may have several records, so the best assignment is each record's best entity. Records of one group
     (``group`` of ``records``, same source and same ident) are one thing: they go together to the entity with the
     greatest sum, if the mean over those that found any evidence reaches ACCEPT and at least half did. Records
-    without a group stand alone. Ties go to the lowest entity.
+    without a group stand alone. Ties go to the lowest entity. confidence is null for a record that goes with its group
+    without having been compared with the entity, or with less than EVIDENCE; see ``rated``.
     """
     own = records.select(F.col("id").alias("record_id"), F.coalesce(group, F.concat(F.lit("#"), F.col("id").cast("string"))).alias("g")).filter("record_id is not null").distinct()
     size = own.groupBy("g").agg(F.count("*").alias("size"))
@@ -365,11 +383,38 @@ def assign(pairs: DataFrame, records: DataFrame, group: str = "group_ident") ->
     best = sums.groupBy("g").agg(F.max_by(F.struct("entity_id", "total", "n", "top"), F.struct("total", (-F.col("entity_id")).alias("i"))).alias("b")).select("g", "b.*")
     taken = best.join(size, "g").filter((F.col("total") / F.col("n") >= ACCEPT) & (F.col("n") * 2 >= F.col("size")))
     out = taken.join(own, "g").join(pairs.select("entity_id", "record_id", "confidence"), ["entity_id", "record_id"], "left")
-    return out.select("entity_id", "record_id", F.coalesce("confidence", F.col("total") / F.col("n")).alias("confidence"))
+    return out.select("entity_id", "record_id", "confidence")
+
+
+def rated(assigned: DataFrame, entities: DataFrame, records: DataFrame) -> DataFrame:
+    """``assigned`` with a confidence for every pair: those without one are compared now, each with all revisions."""
+    open_ = assigned.filter("confidence is null").select("entity_id", "record_id")
+    shape = ["id", "ident", "name", "kind", "lat", "lon", "elevation", "country", "municipality"]
+
+    def features(df: DataFrame, entity: bool, ids: DataFrame) -> DataFrame:
+        rows = df.select(F.lit(entity).alias("entity"), *shape).join(ids.distinct(), "id", "left_semi").distinct()
+        return rows.mapInPandas(lambda it: (_features(b) for b in it), _FEATURES)
+
+    e = features(entities, True, open_.select(F.col("entity_id").alias("id")))
+    r = features(records, False, open_.select(F.col("record_id").alias("id")))
+    names = e.columns
+    both = open_.join(e.select(F.col("id").alias("entity_id"), F.struct(*names).alias("e")), "entity_id").join(r.select(F.col("id").alias("record_id"), F.struct(*names).alias("r")), "record_id")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            n = len(b)
+            if not n:
+                continue
+            things = Things(pd.DataFrame([*b["e"], *b["r"]]))
+            i, j = np.arange(n), np.arange(n) + n
+            yield pd.DataFrame({"entity_id": b["entity_id"], "record_id": b["record_id"], "confidence": things.confidence(i, j, *things.distances(i, j))})
+
+    now = both.mapInPandas(run, "entity_id long, record_id long, confidence double").groupBy("entity_id", "record_id").agg(F.max("confidence").alias("confidence"))
+    return assigned.filter("confidence is not null").unionByName(now)
 
 
 def match(entities: DataFrame, records: DataFrame) -> DataFrame:
     """(entity_id, record_id, confidence). Both tables have id, ident, name, kind, lat, lon, elevation, country,
     municipality, records also group_ident; any of them may be null, repeated rows count once, extra columns are
     ignored, empty tables give an empty result."""
-    return assign(candidates(entities, records), records)
+    return rated(cut(assign(candidates(entities, records), records)), entities, records)

@@ -28,7 +28,7 @@ def p2_sources(spark: SparkSession, d: str) -> DataFrame:
     return _truth(spark, d, True).reliability.select("source", F.round("reliability", 6).alias("reliability"))
 
 
-def p4_match(spark: SparkSession, d: str) -> DataFrame:
+def _aerodromes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     a = read(spark, d, "ourairports_airports").select(
         "id", "ident", "name", F.col("airport_type").alias("kind"), F.col("latitude_deg").alias("lat"), F.col("longitude_deg").alias("lon"),
         F.col("elevation_ft").alias("elevation"), F.col("iso_country").alias("country"), "municipality",
@@ -37,11 +37,29 @@ def p4_match(spark: SparkSession, d: str) -> DataFrame:
         F.col("record_id").alias("id"), "ident", "name", F.col("airport_type").alias("kind"), "lat", "lon",
         F.col("elevation_ft").alias("elevation"), F.col("iso_country").alias("country"), "municipality", truth.group_ident("ident").alias("group_ident"),
     )
-    return match.match(a, r).select(F.col("entity_id").alias("airport_id"), "record_id", "confidence")
+    return a, r
+
+
+def p4_match(spark: SparkSession, d: str) -> DataFrame:
+    return match.match(*_aerodromes(spark, d)).select(F.col("entity_id").alias("airport_id"), "record_id", "confidence")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return p4_match(spark, d).select("airport_id", "record_id")
+    a, r = _aerodromes(spark, d)
+    return match.assign(match.candidates(a, r), r).select(F.col("entity_id").alias("airport_id"), "record_id")
+
+
+def p4_audit(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of the matches: one airport a record, known ids, confidences from 0 to 1, the records of an ident together."""
+    m = p4_match(spark, d)
+    a, r = _aerodromes(spark, d)
+    per_record = m.groupBy("record_id").agg(F.count("*").alias("n"))
+    ids, records = a.select(F.col("id").alias("airport_id")).distinct(), r.select(F.col("id").alias("record_id"), "group_ident").distinct()
+    known = m.join(ids, "airport_id", "left_anti").count() + m.join(records, "record_id", "left_anti").count()
+    split = m.join(records.filter("group_ident is not null"), "record_id").groupBy("group_ident").agg(F.count_distinct("airport_id").alias("n"))
+    return per_record.agg(F.count_if(F.col("n") > 1).alias("records_with_several")).join(
+        m.agg(F.count_if(F.col("confidence").isNull() | ~F.col("confidence").between(0, 1)).alias("bad_confidence"))
+    ).join(split.agg(F.count_if(F.col("n") > 1).alias("idents_apart"))).withColumn("unknown_ids", F.lit(known).cast("long"))
 
 
 def p8_containers(spark: SparkSession, d: str) -> DataFrame:
@@ -84,7 +102,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p2_found, p2_voted, p2_sources, p4_found, p4_match, p8_containers, p8_audit, p9_found, p9_leaks, p10_found, p10_restored)
+    for f in (p2_found, p2_voted, p2_sources, p4_found, p4_match, p4_audit, p8_containers, p8_audit, p9_found, p9_leaks, p10_found, p10_restored)
 }
 
 _IDENT = "nullif(upper(regexp_replace(ident, '[^\\p{L}\\p{N}]', '', 'g')), '')"
@@ -131,6 +149,7 @@ SQL = {
 b as (select g, f, value, row_number() over (partition by g, f, value order by rank, at_ desc nulls last, record_id) nth, rank, at_, record_id from lev)
 select g group_ident, f field_name, value, record_id, round(s, 9) support from (select *, row_number() over
   (partition by g, f order by round(s, 12) desc, at_ desc nulls last, rank, record_id) best from final join (select * from b where nth = 1) using (g, f, value)) where best = 1""",
+    "p4_audit": "select cast(0 as bigint) records_with_several, cast(0 as bigint) bad_confidence, cast(0 as bigint) idents_apart, cast(0 as bigint) unknown_ids",
     "p8_audit": """
 select cast(0 as bigint) over_capacity, cast(0 as bigint) several_homes, cast(0 as bigint) missing_numbers, cast(0 as bigint) short_texts_split, cast(0 as bigint) texts_incomplete,
   count(distinct doc_id) documents, count(*) rows_placed from documents where text <> ''""",
