@@ -272,34 +272,39 @@ def align(item: list[str], item_code: np.ndarray, doc: list[str], doc_code: np.n
     return max(best, (held, last, end))
 
 
+def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of the seeds of an item in a place those runs that hold enough of them: (place, item_key, lo, hi) in words."""
+    for b in batches:
+        out = []
+        for place, key, size, least, hits in zip(b["place"], b["item_key"], b["m"], b["need"], b["hits"]):
+            dd = np.array([h["at"] for h in hits], dtype=np.int64)
+            pp = np.array([h["pos"] for h in hits], dtype=np.int64)
+            order = np.argsort(dd, kind="stable")
+            dd, pp = dd[order], pp[order]
+            for part in np.split(np.arange(len(dd)), np.nonzero(np.diff(dd) > size + PLACE)[0] + 1):
+                if len(np.unique(pp[part])) >= least:
+                    out.append((place, key, max(0, int(dd[part[0]]) - size - PLACE), int(dd[part[-1]]) + N + size + PLACE))
+        yield pd.DataFrame(out, columns=["place", "item_key", "lo", "hi"])
+
+
 def _aligned(share: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for doc, item, first, text, passage, least, hits in zip(b["doc_id"], b["item_id"], b["first"], b["words"], b["item_words"], b["need"], b["hits"]):
+            for doc, item, first, text, passage in zip(b["doc_id"], b["item_id"], b["first"], b["words"], b["item_words"]):
                 ws, iw = text.split(" "), passage.split(" ")
                 number = {w: k for k, w in enumerate(dict.fromkeys(iw))}
-                code = np.array([number[w] for w in iw], dtype=np.int64)
-                size = len(iw)
-                dd = np.array([h["at"] for h in hits], dtype=np.int64)
-                pp = np.array([h["pos"] for h in hits], dtype=np.int64)
-                order = np.argsort(dd, kind="stable")
-                dd, pp = dd[order], pp[order]
-                for part in np.split(np.arange(len(dd)), np.nonzero(np.diff(dd) > size + PLACE)[0] + 1):
-                    if len(np.unique(pp[part])) < least:
-                        continue
-                    lo, hi = max(0, int(dd[part[0]]) - size - PLACE), min(len(ws), int(dd[part[-1]]) + N + size + PLACE)
-                    here = ws[lo:hi]
-                    held, a, z = align(iw, code, here, np.array([number.get(w, -1) for w in here], dtype=np.int64))
-                    if held >= share * size:
-                        out.append((doc, item, held, held / size, first + lo + a, first + lo + z))
+                codes = [np.array([number.get(w, -1) for w in x], dtype=np.int64) for x in (iw, ws)]
+                held, a, z = align(iw, codes[0], ws, codes[1])
+                if held >= share * len(iw):
+                    out.append((doc, item, held, held / len(iw), first + a, first + z))
             yield pd.DataFrame(out, columns=["doc_id", "item_id", "held", "share", "first_word", "last_word"])
 
     return run
 
 
 def _passages(known: DataFrame, size: int) -> DataFrame:
-    side = known.select("item_key", "item_id", F.col("words").alias("item_words"), "need")
+    side = known.select("item_key", "item_id", F.col("words").alias("item_words"))
     return F.broadcast(side) if size <= SMALL_BYTES else side
 
 
@@ -326,11 +331,12 @@ def leaks(
     chosen = cut(seeds(table, frequency))
     places = scanned.select("doc_id", F.explode("places").alias("p")).select("doc_id", "p.*").withColumn("place", F.monotonically_increasing_id())
     met = places.select("place", F.explode(F.arrays_zip("at", "gram")).alias("h")).select("place", "h.at", "h.gram").join(small_side(chosen), "gram")
-    enough = (
-        met.groupBy("place", "item_key").agg(F.count_distinct("pos").alias("k"), F.collect_list(F.struct("at", "pos")).alias("hits"))
-        .join(_passages(known, facts["bytes"]), "item_key").filter("k >= need")
-    )
-    pairs = enough.join(places.select("place", "doc_id", "first", "words"), "place").select("doc_id", "item_id", "first", "words", "item_words", "need", "hits")
+    enough = met.groupBy("place", "item_key").agg(F.count_distinct("pos").alias("k"), F.collect_list(F.struct("at", "pos")).alias("hits"))
+    enough = enough.join(small_side(known.select("item_key", "m", "need")), "item_key").filter("k >= need")
+    # only the words around a run of seeds go to the alignment
+    runs = enough.mapInPandas(_runs, "place long, item_key long, lo int, hi int").join(_passages(known, facts["bytes"]), "item_key")
+    around = F.array_join(F.slice(F.split("words", " "), F.col("lo") + 1, F.col("hi") - F.col("lo")), " ")
+    pairs = runs.join(places.select("place", "doc_id", "first", "words"), "place").select("doc_id", "item_id", (F.col("first") + F.col("lo")).alias("first"), around.alias("words"), "item_words")
     best = F.max(F.struct("held", "share", "first_word", "last_word"))
     # few bytes but much work each: spread by number, which adaptive execution leaves as it is
     spark = docs.sparkSession
