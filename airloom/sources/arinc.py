@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,16 +57,38 @@ def scan_report(rec: DataFrame) -> DataFrame:
     return rec.groupBy("record_class").agg(F.count("*").alias("records"))
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    return df.filter("reason is null").drop("reason")
+
+
+def _reason(*missing: tuple[Column, str]) -> Column:
+    """The first that holds of conditions with what they say; null where a record decodes."""
+    return F.coalesce(*[F.when(F.coalesce(c, F.lit(True)), said) for c, said in missing]).alias("reason")
+
+
 def waypoints(rec: DataFrame) -> DataFrame:
-    return rec.filter("record_class in ('EA', 'PC')").select(
+    return _kept(_waypoints(rec))
+
+
+def _waypoints(rec: DataFrame) -> DataFrame:
+    d = rec.filter("record_class in ('EA', 'PC')").select(
         "line_no", trimmed(7, 10).alias("airport_ident"), trimmed(14, 18).alias("ident"), field(20, 21).alias("region"), waypoint_type(field(27, 29)).alias("waypoint_type"),
         dms(field(33, 41)).alias("latitude_deg"), dms(field(42, 51)).alias("longitude_deg"), magnetic_variation(trimmed(75, 80)).alias("variation"),
-        F.coalesce(trimmed(96, 120), trimmed(14, 18)).alias("name"), (F.col("record_class") == "EA").alias("is_enroute"),
-    ).filter("ident is not null and latitude_deg is not null and longitude_deg is not null")
+        F.coalesce(trimmed(96, 120), trimmed(14, 18)).alias("name"), (F.col("record_class") == "EA").alias("is_enroute"), "record_class",
+    )
+    return d.withColumn("reason", _reason((F.col("ident").isNull(), "no ident"), (F.col("latitude_deg").isNull() | F.col("longitude_deg").isNull(), "bad position")))
 
 
 def vhf_navaids(rec: DataFrame) -> DataFrame:
     """Stations of section D: kind from the class, the DME half as a row of its own."""
+    d = _kept(_vhf_stations(rec))
+    main = F.struct(F.col("kind").alias("navaid_type"), F.coalesce("lat", "dme_lat").alias("latitude_deg"), F.coalesce("lon", "dme_lon").alias("longitude_deg"))
+    dme = F.struct(F.lit("DME").alias("navaid_type"), F.coalesce("dme_lat", "lat").alias("latitude_deg"), F.coalesce("dme_lon", "lon").alias("longitude_deg"))
+    halves = F.when(F.col("kind").isin("VORTAC", "VOR-DME"), F.array(main, dme)).otherwise(F.array(main))
+    return d.withColumn("h", F.explode(halves)).select("line_no", "airport_ident", "ident", "region", "frequency_khz", "elevation_ft", "variation", "name", "h.*")
+
+
+def _vhf_stations(rec: DataFrame) -> DataFrame:
     khz = (trimmed(23, 27).try_cast("int") * 10)
     cls = field(28, 30)
     vor, dme_only, tacan = F.substring(cls, 1, 1) == "V", (F.substring(cls, 1, 1) == " ") & (F.substring(cls, 2, 1) == "D"), F.substring(cls, 2, 1).isin("T", "M")
@@ -73,18 +98,22 @@ def vhf_navaids(rec: DataFrame) -> DataFrame:
         dms(field(33, 41)).alias("lat"), dms(field(42, 51)).alias("lon"), dms(field(56, 64)).alias("dme_lat"), dms(field(65, 74)).alias("dme_lon"), _num(80, 84).alias("elevation_ft"),
         magnetic_variation(trimmed(75, 79)).alias("variation"), trimmed(91, 120).alias("name"),
         F.when(ils, "ILS-LOC").when(vor & tacan, "VORTAC").when(vor & (F.substring(cls, 2, 1) == "D"), "VOR-DME").when(vor, "VOR").when(dme_only, "DME").when(tacan, "TACAN").otherwise("DME").alias("kind"),
-    ).filter("ident is not null and frequency_khz > 0")
-    main = F.struct(F.col("kind").alias("navaid_type"), F.coalesce("lat", "dme_lat").alias("latitude_deg"), F.coalesce("lon", "dme_lon").alias("longitude_deg"))
-    dme = F.struct(F.lit("DME").alias("navaid_type"), F.coalesce("dme_lat", "lat").alias("latitude_deg"), F.coalesce("dme_lon", "lon").alias("longitude_deg"))
-    halves = F.when(F.col("kind").isin("VORTAC", "VOR-DME"), F.array(main, dme)).otherwise(F.array(main))
-    return d.withColumn("h", F.explode(halves)).select("line_no", "airport_ident", "ident", "region", "frequency_khz", "elevation_ft", "variation", "name", "h.*")
+        "record_class",
+    )
+    placed = (F.col("lat").isNotNull() & F.col("lon").isNotNull()) | (F.col("dme_lat").isNotNull() & F.col("dme_lon").isNotNull())
+    return d.withColumn("reason", _reason((F.col("ident").isNull(), "no ident"), (~(F.col("frequency_khz") > 0), "bad frequency"), (~placed, "bad position")))
 
 
 def ndb_navaids(rec: DataFrame) -> DataFrame:
-    return rec.filter("record_class in ('DB', 'PN')").select(
+    return _kept(_ndb_stations(rec))
+
+
+def _ndb_stations(rec: DataFrame) -> DataFrame:
+    d = rec.filter("record_class in ('DB', 'PN')").select(
         "line_no", trimmed(7, 10).alias("airport_ident"), trimmed(14, 17).alias("ident"), trimmed(20, 21).alias("region"), trimmed(23, 26).try_cast("int").alias("frequency_khz"),
-        dms(field(33, 41)).alias("latitude_deg"), dms(field(42, 51)).alias("longitude_deg"), trimmed(94, 123).alias("name"),
-    ).filter("ident is not null and frequency_khz > 0")
+        dms(field(33, 41)).alias("latitude_deg"), dms(field(42, 51)).alias("longitude_deg"), trimmed(94, 123).alias("name"), "record_class",
+    )
+    return d.withColumn("reason", _reason((F.col("ident").isNull(), "no ident"), (~(F.col("frequency_khz") > 0), "bad frequency"), (F.col("latitude_deg").isNull() | F.col("longitude_deg").isNull(), "bad position")))
 
 
 def airway_legs(rec: DataFrame) -> DataFrame:
@@ -192,3 +221,74 @@ def first_wins(rows: DataFrame, key: list[str], payload: list[str], order: str =
     v = F.struct(*payload)
     g = rows.groupBy(*key).agg(F.min_by(v, order).alias("v"), F.count_distinct(F.to_json(v)).alias("n"))
     return g.select(*key, "v.*"), g.filter("n > 1").select(*key, (F.col("n") - 1).alias("conflicts"))
+
+
+#: Which table a record class fills; a class that is not named fills none that closes by absence.
+FILLS = {"EA": "waypoints", "PC": "waypoints", "D": "navaids", "DB": "navaids", "PN": "navaids", "PI": "navaids", "ER": "airway_legs", "PD": "procedure_legs", "PE": "procedure_legs", "PF": "procedure_legs", "PG": "runways"}
+
+
+@dataclass
+class Load:
+    """What one file holds: entities by table, rejected records with their reason, repeated keys that disagree, and the
+    report of the scan by class."""
+
+    entities: dict[str, DataFrame]
+    rejects: DataFrame
+    conflicts: DataFrame
+    report: DataFrame
+
+    def masked(self) -> DataFrame:
+        """(table_name, masked): whether records that did not decode may hide rows, so that absence closes nothing."""
+        named = F.create_map(*[F.lit(x) for kv in FILLS.items() for x in kv])
+        return self.report.withColumn("table_name", F.element_at(named, F.col("record_class"))).filter("table_name is not null").groupBy("table_name").agg((F.sum("rejected") > 0).alias("masked"))
+
+
+def load(lines: DataFrame) -> Load:
+    """A whole file (line_no, value) to entities, each class decoded from the one scan of ``records``.
+
+    Localizers of both classes are merged, navaids and waypoints of one key keep the first record and count the others
+    that say something else, localizers take the glide path and course that approaches name where they have none. A line
+    of another width is rejected as such; one whose ident, position or frequency does not decode with its reason.
+    """
+    known = records(lines)
+    wp, vhf, ndb = _waypoints(known), _vhf_stations(known), _ndb_stations(known)
+    short = lines.filter(F.length("value") < WIDTH).select("line_no", F.lit("short").alias("record_class"), F.lit("short line").alias("reason"))
+    rejects = reduce(DataFrame.unionByName, [short, *[x.filter("reason is not null").select("line_no", "record_class", "reason") for x in (wp, vhf, ndb)]])
+    legs = procedure_legs(known)
+    station = ["ident", "region", "navaid_type"]
+    both = vhf_navaids(known).select("line_no", *station, "airport_ident", "frequency_khz", "latitude_deg", "longitude_deg", "name").unionByName(
+        ndb_navaids(known).withColumn("navaid_type", F.lit("NDB")).select("line_no", *station, "airport_ident", "frequency_khz", "latitude_deg", "longitude_deg", "name")
+    )
+    is_loc = F.col("navaid_type") == "ILS-LOC"
+    aids, aid_conflicts = first_wins(both.filter(~is_loc).withColumn("region", F.coalesce("region", F.lit(""))), station, ["airport_ident", "frequency_khz", "latitude_deg", "longitude_deg", "name"])
+    points, point_conflicts = first_wins(_kept(wp).withColumn("airport_ident", F.coalesce("airport_ident", F.lit(""))), ["airport_ident", "ident", "region"], ["latitude_deg", "longitude_deg", "name"])
+    pi = localizers(known)
+    loc = merge_localizers(pi.filter("navaid_type = 'ILS-LOC'"), both.filter(is_loc))
+    associations = ils_associations(legs)
+    paired, alone = runways(known)
+    named = lambda d, t, key: d.select(F.lit(t).alias("table_name"), F.concat_ws("/", *key).alias("key"), "conflicts")
+    seen = known.groupBy("record_class").agg(F.count("*").alias("seen"))
+    lost = rejects.groupBy("record_class").agg(F.count("*").alias("rejected"))
+    report = seen.join(lost, "record_class", "full_outer").select("record_class", F.coalesce("seen", "rejected").alias("seen"), F.coalesce("rejected", F.lit(0)).alias("rejected"))
+    return Load(
+        {
+            "waypoints": points, "navaids": aids, "localizers": enriched(loc, associations), "glide_paths": pi.filter("navaid_type = 'ILS-GS'"), "airway_legs": airway_legs(known), "procedure_legs": legs, "runways": paired,
+            "unpaired_ends": alone, "path_points": path_points(known), "msa": msa(known), "mora": mora(known), "ils_associations": associations,
+        },
+        rejects, named(aid_conflicts, "navaids", station).unionByName(named(point_conflicts, "waypoints", ["airport_ident", "ident", "region"])), report,
+    )
+
+
+def enriched(loc: DataFrame, associations: DataFrame) -> DataFrame:
+    """Localizers with the runway, course and glide path of the first approach that names them."""
+    a = associations.groupBy("airport_ident", F.col("localizer_ident").alias("ident")).agg(F.min_by(F.struct("runway", "bearing_mag_deg", "glideslope_deg"), "approach_ident").alias("a"))
+    return loc.join(a, ["airport_ident", "ident"], "left").select(*loc.columns, "a.runway", "a.bearing_mag_deg", "a.glideslope_deg")
+
+
+def line(fields: dict[int, Column]) -> Column:
+    """A record of full width with each text at its column, counted from 1; a null text is blank."""
+    out, at = F.lit(""), 0
+    for col in sorted(fields):
+        out = F.concat(F.rpad(out, col - 1, " "), F.coalesce(fields[col], F.lit("")))
+        at = col
+    return F.rpad(out, max(WIDTH, at), " ")
