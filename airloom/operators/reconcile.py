@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from airloom.functions.geo import haversine_nm
+from airloom.functions.text import canonical_id
 
 #: Fixed values in NM: coordinates confirm identity, identity is probable, an ident change is the same place.
 EXACT_NM, PROBABLE_NM, IDENT_CHANGE_NM = 3.0, 30.0, 0.3
@@ -112,3 +113,35 @@ def merge_datasets(parts: list[DataFrame], key: str) -> DataFrame:
         out = q if out is None else out.unionByName(q, allowMissingColumns=True)
     cols = [c for c in out.columns if c != "__prio"]
     return out.groupBy(key).agg(F.max_by(F.struct(*cols), "__prio").alias("r")).select("r.*")
+
+
+def provider_pairs(entities: DataFrame, fields: list[str], far: str = "conflict") -> DataFrame:
+    """Every two providers' entities of one ``key`` (provider, id, key, lat, lon, ``fields``) with distance and outcome.
+
+    A key that has more than one entity on a side is ambiguous and gives one row for the two providers, whatever its
+    size. ``conflicts`` names the fields in which a near pair differs (a missing value differs from none).
+    """
+    cols = ["id", "lat", "lon", *fields]
+    side = entities.filter("key is not null").groupBy("provider", "key").agg(F.count_distinct("id").alias("n"), F.min_by(F.struct(*cols), "id").alias("r"))
+    a, b = (side.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("provider", "n", "r")]) for s in "ab")
+    j = a.join(b, "key").filter("provider_a < provider_b")
+    alone = (F.col("n_a") == 1) & (F.col("n_b") == 1)
+    nm = haversine_nm(F.col("r_a.lat"), F.col("r_a.lon"), F.col("r_b.lat"), F.col("r_b.lon"))
+    near = alone & F.coalesce(nm <= PROBABLE_NM, F.lit(False))
+    differ = F.array_compact(F.array(*[F.when(F.col(f"r_a.{f}") != F.col(f"r_b.{f}"), F.lit(f)) for f in fields])) if fields else F.array().cast("array<string>")
+    return j.select(
+        "provider_a", "provider_b", "key", F.when(alone, F.col("r_a.id")).alias("id_a"), F.when(alone, F.col("r_b.id")).alias("id_b"), F.when(alone, F.round(nm, 6)).alias("distance_nm"),
+        F.when(alone, F.coalesce(tier(nm, far), F.lit("unplaced"))).otherwise("ambiguous").alias("outcome"), F.when(near, differ).otherwise(F.array().cast("array<string>")).alias("conflicts"),
+    )
+
+
+def memberships(entities: DataFrame, prefix: str) -> DataFrame:
+    """(canonical_id, provider, entity_id): entities that an exact pair brings under the canonical id of their key."""
+    exact = provider_pairs(entities, []).filter("outcome = 'exact'")
+    ends = F.array(*[F.struct(F.col(f"provider_{s}").alias("provider"), F.col(f"id_{s}").alias("entity_id")) for s in "ab"])
+    return exact.select(canonical_id(prefix, F.col("key")).alias("canonical_id"), F.explode(ends).alias("e")).select("canonical_id", "e.*").distinct()
+
+
+def join_memberships(current: DataFrame, found: DataFrame) -> DataFrame:
+    """``current`` with what ``found`` adds; what is there already is left as it is, so a second run changes nothing."""
+    return current.unionByName(found.join(current, current.columns, "left_anti"))

@@ -337,17 +337,6 @@ def fix_resolution(spark: SparkSession, d: str) -> DataFrame:
     return f.join(n, ["ident", "region"], "left").select("ident", "region", F.coalesce("vhf", "ndb").alias("navaid_id"), F.when(F.col("vhf").isNotNull(), "vhf").when(F.col("ndb").isNotNull(), "ndb").alias("found_as"))
 
 
-@query("""with e as (select p_brand b, p_size s, min(p_partkey) k from part where p_size between 1 and 36 group by 1, 2)
-select x.b brand, x.s le, y.s he, x.k le_part, y.k he_part from e x join e y on x.b = y.b and y.s = (case when (x.s + 18) % 36 = 0 then 36 else (x.s + 18) % 36 end) where x.s < y.s""")
-def runway_pairing(spark: SparkSession, d: str) -> DataFrame:
-    """Ends paired with their reciprocal, the lower number first."""
-    e = read(spark, d, "part").filter(F.col("p_size").between(1, 36)).groupBy(F.col("p_brand").alias("brand"), F.col("p_size").alias("n")).agg(F.min("p_partkey").alias("k"))
-    back = F.pmod(F.col("n") + 18, F.lit(36))
-    a = e.select("brand", F.col("n").alias("le"), F.col("k").alias("le_part"), F.when(back == 0, 36).otherwise(back).alias("he"))
-    b = e.select("brand", F.col("n").alias("he"), F.col("k").alias("he_part"))
-    return a.join(b, ["brand", "he"]).filter("le < he").select("brand", "le", "he", "le_part", "he_part")
-
-
 def _identity(ident: str, country: str) -> str:
     return f"case when upper(trim({ident})) = '' then null when regexp_full_match(upper(trim({ident})), '[A-Z]{{4}}') then 'icao:' || upper(trim({ident})) else 'local:' || upper(coalesce({country}, '')) || ':' || upper(trim({ident})) end"
 
@@ -539,76 +528,8 @@ def having_duplicates(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "events").groupBy("user_id", F.date_trunc("minute", F.col("ts")).cast("timestamp_ntz").alias("minute")).agg(F.count("*").alias("n")).filter("n > 1")
 
 
-@query("select l_orderkey, l_linenumber, lag(l_suppkey) over w from_prev, l_partkey % 100 + 1 = lag(l_suppkey) over w continuous from lineitem window w as (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice)")
-def leg_continuity(spark: SparkSession, d: str) -> DataFrame:
-    """Whether a leg starts where the one before ended."""
-    p = F.lag("l_suppkey").over(Window.partitionBy("l_orderkey").orderBy(*_LINE))
-    return read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", p.alias("from_prev"), (F.col("l_partkey") % 100 + 1 == p).alias("continuous"))
-
-
-@query("select l_orderkey, l_linenumber, coalesce(sum(l_quantity) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice rows between 1 following and unbounded following), 0) remaining from lineitem")
-def remaining_distance(spark: SparkSession, d: str) -> DataFrame:
-    """Distance of the route after each leg."""
-    w = Window.partitionBy("l_orderkey").orderBy(*_LINE).rowsBetween(1, Window.unboundedFollowing)
-    return read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.coalesce(F.sum("l_quantity").over(w), F.lit(0.0)).alias("remaining"))
-
-
-@query("select l_orderkey, l_linenumber, l_linenumber - lag(l_linenumber) over w > 1 gap, l_quantity - last_value(case when l_discount > 0.03 then l_quantity end ignore nulls) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice rows between unbounded preceding and 1 preceding) rise from lineitem window w as (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice)")
-def sequence_profile(spark: SparkSession, d: str) -> DataFrame:
-    """Gaps, and the change against the last leg that had a constraint."""
-    w = Window.partitionBy("l_orderkey").orderBy(*_LINE)
-    last = F.last(F.when(F.col("l_discount") > 0.03, F.col("l_quantity")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    return read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_linenumber") - F.lag("l_linenumber").over(w) > 1).alias("gap"), (F.col("l_quantity") - last).alias("rise"))
-
-
-@query("select line_id, last_value(case when line_no <= 2 then source_file end ignore nulls) over (partition by dataset_name, left(source_file, 12) order by line_id rows between unbounded preceding and current row) header from raw_csv_lines")
-def forward_fill_header(spark: SparkSession, d: str) -> DataFrame:
-    """SRC12: a header line holds for the lines that follow it."""
-    w = Window.partitionBy("dataset_name", F.substring("source_file", 1, 12)).orderBy("line_id").rowsBetween(Window.unboundedPreceding, 0)
-    return read(spark, d, "raw_csv_lines").select("line_id", F.last(F.when(F.col("line_no") <= 2, F.col("source_file")), ignorenulls=True).over(w).alias("header"))
-
-
-@query("""with t as (select unnest(range(0, 30, 2)) g), p as (select timestamp '2024-01-01' + to_days(g::int) a, timestamp '2024-01-01' + to_days((g + 1)::int) b, g from t)
-select e.event_id, coalesce(p.g, 0) period, p.g is null fallback from events e left join p on e.ts >= p.a and e.ts < p.b""")
-def taf_at_eta(spark: SparkSession, d: str) -> DataFrame:
-    """The forecast period that holds at an instant, else the first one. Periods are one array, looked up by position."""
-    day = F.datediff("ts", F.lit("2024-01-01").cast("date"))
-    inside = (day >= 0) & (day < 30) & (day % 2 == 0)
-    return read(spark, d, "events").select("event_id", F.when(inside, day).otherwise(0).cast("long").alias("period"), (~inside).alias("fallback"))
-
-
 # --- geometry, graph, weather, tracking -------------------------------------------------------------------------------
 
-_RING = [(-10.0, 30.0), (40.0, 25.0), (60.0, 55.0), (20.0, 70.0), (-20.0, 50.0)]
-_CROSS = " + ".join(
-    f"(case when ({a[1]} > lat) <> ({b[1]} > lat) and lon < ({b[0]} - {a[0]}) * (lat - {a[1]}) / ({b[1]} - {a[1]}) + {a[0]} then 1 else 0 end)" for a, b in zip(_RING, _RING[1:] + _RING[:1])
-)
-
-
-@query(f"select distinct id, ({_CROSS}) % 2 = 1 inside from (select id, latitude_deg lat, longitude_deg lon from ourairports_airports)")
-def sigmet_corridor(spark: SparkSession, d: str) -> DataFrame:
-    """Airports inside a polygon."""
-    ring = F.array(*[F.struct(F.lit(x).alias("lon"), F.lit(y).alias("lat")) for x, y in _RING])
-    return read(spark, d, "ourairports_airports").select("id", geo.in_polygon(F.col("latitude_deg"), F.col("longitude_deg"), ring).alias("inside")).distinct()
-
-
-_ROUTE = [(48.0, 11.0), (50.0, 8.0), (51.5, 0.0), (53.0, -6.0)]
-
-
-def _seg_sql(a, b) -> str:
-    dx, dy = b[1] - a[1], b[0] - a[0]
-    t = f"greatest(0, least(1, ((lon - ({a[1]})) * ({dx}) + (lat - ({a[0]})) * ({dy})) / {dx * dx + dy * dy}))"
-    return _hav("lat", "lon", f"({a[0]} + {t} * ({dy}))", f"({a[1]} + {t} * ({dx}))")
-
-
-@query("select distinct id, round(least(" + ", ".join(_seg_sql(a, b) for a, b in zip(_ROUTE, _ROUTE[1:])) + "), 5) distance_nm from (select id, latitude_deg lat, longitude_deg lon from ourairports_airports)")
-def route_traffic(spark: SparkSession, d: str) -> DataFrame:
-    """Least distance of points to the segments of a route, without a join."""
-    lat, lon = F.col("latitude_deg"), F.col("longitude_deg")
-    each = [geo.planar_segment_nm(lat, lon, F.lit(a[0]), F.lit(a[1]), F.lit(b[0]), F.lit(b[1])) for a, b in zip(_ROUTE, _ROUTE[1:])]
-    return read(spark, d, "ourairports_airports").select("id", F.round(F.least(*each), 5).alias("distance_nm")).distinct()
-
-
 @query(f"""with r as (select distinct id, le_latitude_deg a, le_longitude_deg b, he_latitude_deg c, he_longitude_deg d, le_heading_degt p from ourairports_runways)
 select id, round(coalesce(p, {_BEARING.format(a='a', b='b', c='c', d='d')}), 4) heading, round({_hav('a', 'b', 'c', 'd', '6371.0088')}, 5) km from r""")
 def runway_geometry(spark: SparkSession, d: str) -> DataFrame:
@@ -670,7 +591,9 @@ def graph_edges(spark: SparkSession, d: str) -> DataFrame:
     return _edges(spark, d).select("src", "dst", "route_ident")
 
 
-@query(None)
+@query(_EDGE + """, l as (select distinct src, dst from (select src, dst from e union all select dst, src from e)), n as (select src node from l union select dst from l),
+r as (with recursive w(node, root) as (select node, node from n union select l.dst, w.root from w join l on l.src = w.node) select node, min(root) component from w group by 1)
+select component, count(*) nodes from r group by 1""")
 def graph_components(spark: SparkSession, d: str) -> DataFrame:
     """Weakly connected components of the airway graph with their sizes."""
     c = graph.components(_edges(spark, d))
@@ -741,33 +664,12 @@ def freshness_tiers(spark: SparkSession, d: str) -> DataFrame:
     return e.select("event_id", text.weather_freshness(F.floor(F.col("s") / 60)).alias("weather"), text.network_freshness(F.col("s")).alias("network"))
 
 
-@query("""select user_id, event_type, arg_max(event_id, {t: ts, e: event_id}) event_id from events where ts <= timestamp '2024-01-20' group by 1, 2 having max(ts) + interval 5 day > timestamp '2024-01-20'""")
-def latest_by_key_ttl(spark: SparkSession, d: str) -> DataFrame:
-    """SNK17, SNK18, ST9: the newest event per key that has not expired."""
-    t = F.lit("2024-01-20").cast("timestamp_ntz")
-    g = read(spark, d, "events").filter(F.col("ts") <= t).groupBy("user_id", "event_type").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"), F.max("ts").alias("at"))
-    return g.filter(F.col("at") + F.expr("interval 5 days") > t).drop("at")
-
-
 @query("select event_id, event_type from events where event_id > 500 order by event_id limit 100")
 def event_paging(spark: SparkSession, d: str) -> DataFrame:
     """S5, ST5: a page of events after an id."""
     return read(spark, d, "events").filter("event_id > 500").select("event_id", "event_type").orderBy("event_id").limit(100)
 
 
-@query("select event_id, event_type <> lag(event_type) over w changed from events window w as (partition by user_id order by ts, event_id)")
-def delta_detect(spark: SparkSession, d: str) -> DataFrame:
-    """ST6: change against the snapshot before."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return read(spark, d, "events").select("event_id", (F.col("event_type") != F.lag("event_type").over(w)).alias("changed"))
-
-
-@query("select event_id, json_extract(props, '$.k')::int k from events")
-def json_extract(spark: SparkSession, d: str) -> DataFrame:
-    """SRC17, F27: a field of JSON text."""
-    return read(spark, d, "events").select("event_id", F.from_json("props", "k int")["k"].alias("k"))
-
-
 @query("select distinct id, 'apt:' || left(sha256('icao:' || upper(trim(ident))), 16) canonical from ourairports_airports where regexp_full_match(upper(trim(ident)), '[A-Z]{4}')")
 def sha_canonical_id(spark: SparkSession, d: str) -> DataFrame:
     """canonical ids from identity keys."""
@@ -775,13 +677,6 @@ def sha_canonical_id(spark: SparkSession, d: str) -> DataFrame:
     return a.select("id", text.canonical_id("apt", F.col("k")).alias("canonical")).distinct()
 
 
-@query("""select procedure_kind, procedure_ident, airport_icao, string_agg(distinct chart_id, ',' order by chart_id) charts, min(valid_from) <> max(valid_from) mixed from (select distinct assoc_id, procedure_kind, procedure_ident, airport_icao, upper(trim(chart_id)) chart_id, valid_from from chart_associations) group by 1, 2, 3""")
-def procedure_assemble(spark: SparkSession, d: str) -> DataFrame:
-    """F16, A5: parts of a procedure collected in order; several starts of validity are marked."""
-    a = read(spark, d, "chart_associations").withColumn("c", F.upper(F.trim("chart_id")))
-    return a.groupBy("procedure_kind", "procedure_ident", "airport_icao").agg(F.array_join(F.array_sort(F.collect_set("c")), ",").alias("charts"), (F.min("valid_from") != F.max("valid_from")).alias("mixed"))
-
-
 _V = """with issues as (
  select distinct 1 rule, 'error' severity, 'airports' table_name, id::varchar id, 'references missing source snapshot' message from ourairports_airports where source_snapshot_id not in (select snapshot_id from raw_source_snapshots)
  union all select distinct 2, 'error', 'runways', id::varchar, 'references missing airport' from ourairports_runways where airport_ref is null or airport_ref not in (select id from ourairports_airports)

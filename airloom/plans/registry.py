@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from airloom.plans import flows, formats, functions, records, reference, training
+from airloom.plans import exchange, flows, formats, functions, records, reference, training
 
-QUERIES = {**training.QUERIES, **reference.QUERIES, **formats.QUERIES, **functions.QUERIES, **flows.QUERIES, **records.QUERIES}
-SQL = {**training.SQL, **reference.SQL, **formats.SQL, **functions.SQL, **flows.SQL, **records.SQL}
+QUERIES = {**training.QUERIES, **reference.QUERIES, **formats.QUERIES, **functions.QUERIES, **flows.QUERIES, **records.QUERIES, **exchange.QUERIES}
+SQL = {**training.SQL, **reference.SQL, **formats.SQL, **functions.SQL, **flows.SQL, **records.SQL, **exchange.SQL}

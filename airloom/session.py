@@ -24,12 +24,18 @@ def build(app: str = "airloom", cores: int = 8, **conf: str) -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; only where that is unset (tests) a temporary one."""
+    """The shared folder named by ``spark.checkpoint.dir``.
+
+    Only a local session (tests, bench) may do without: it has one machine, and gets a temporary folder there. On a
+    cluster a folder of one machine would lose what other executors need, so a session without the setting is refused.
+    """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if not named and not sc.master.startswith("local[") and sc.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="airloom-checkpoint-"))
     return sc.getCheckpointDir()
 

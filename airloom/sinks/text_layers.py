@@ -152,13 +152,22 @@ def flight_plan(fixes_: list[tuple[str, float, float]], cycle: str, form: str) -
 
 
 def write_layer(spark: SparkSession, root: str, files: dict[str, DataFrame], header: str) -> dict[str, int]:
-    """All files of a layer into a staging folder, then one rename; an empty file refuses the whole layer."""
+    """All files of a layer into a staging folder with a manifest, then one swap; an empty file refuses the whole layer.
+
+    Lines are worked out once. Each file is one text file, as its readers want it, so its lines pass through one task as
+    a stream. The layer before is set aside until the new one stands, and comes back if that fails.
+    """
+    import json
+
+    from airloom.session import cut
+
     path = spark._jvm.org.apache.hadoop.fs.Path
     fs = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
-    stage = f"{root}.staging"
+    stage, aside = f"{root}.staging", f"{root}.previous"
     fs.delete(path(stage), True)
     counts = {}
     for name, lines in files.items():
+        lines = cut(lines)
         n = lines.count()
         if not n:
             fs.delete(path(stage), True)
@@ -168,9 +177,16 @@ def write_layer(spark: SparkSession, root: str, files: dict[str, DataFrame], hea
         last = spark.createDataFrame([(2, "99")], "o int, value string")
         first.unionByName(body).unionByName(last).coalesce(1).select("value").write.text(f"{stage}/{name}")
         counts[name] = n
-    fs.delete(path(root), True)
+    spark.createDataFrame([(json.dumps({"header": header, "rows": counts}, sort_keys=True),)], "value string").coalesce(1).write.text(f"{stage}/manifest")
+    fs.delete(path(aside), True)
+    there = fs.exists(path(root))
+    if there and not fs.rename(path(root), path(aside)):
+        raise OSError("the layer before could not be set aside")
     if not fs.rename(path(stage), path(root)):
+        if there:
+            fs.rename(path(aside), path(root))
         raise OSError("the layer could not be published")
+    fs.delete(path(aside), True)
     return counts
 
 
