@@ -226,10 +226,17 @@ class Things:
         self.spread = np.array([max(_coarse(a), _coarse(b)) if abs(a) <= 90 else 0.0 for a, b in zip(self.lat.tolist(), self.lon.tolist())])
 
     def distances(self, e: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(km, least km with the record's coordinates swapped or a sign flipped); NaN where either has no position."""
+        """(km, least km with the record's coordinates swapped or a sign flipped).
+
+        km is NaN where either has no position. The second is worked out where it can be under 5 km, which takes the
+        entity's latitude to be within 0.05 degrees of one of the record's coordinates but for the sign; else infinite.
+        """
         a, b, c, d = self.lat[e], self.lon[e], self.lat[r], self.lon[r]
-        ways = ((d, c), (-c, d), (c, -d), (-c, -d), (d, -c), (-d, c))
-        return _km(a, b, c, d), np.fmin.reduce([_km(a, b, x, y) for x, y in ways])
+        turned = np.full(len(e), np.inf)
+        can = np.nonzero(np.minimum(np.abs(np.abs(a) - np.abs(c)), np.abs(np.abs(a) - np.abs(d))) <= 0.05)[0]
+        p, q, x, y = a[can], b[can], c[can], d[can]
+        turned[can] = np.fmin.reduce([_km(p, q, u, v) for u, v in ((y, x), (-x, y), (x, -y), (-x, -y), (y, -x), (-y, x))]) if len(can) else np.inf
+        return _km(a, b, c, d), turned
 
     def confidence(self, e: np.ndarray, r: np.ndarray, km: np.ndarray, turned: np.ndarray, least: float = 0.0) -> np.ndarray:
         """How sure it is that entities ``e`` and records ``r`` are the same things, from 0 to 1; 0 for what is under ``least``.
@@ -337,8 +344,10 @@ def candidates(entities: DataFrame, records: DataFrame) -> DataFrame:
     shape = ["id", "ident", "name", "kind", "lat", "lon", "elevation", "country", "municipality"]
     both = entities.select(F.lit(True).alias("entity"), *shape).unionByName(records.select(F.lit(False).alias("entity"), *shape))
     both = both.filter("id is not null").distinct()
-    rows = _stream(both.mapInPandas(lambda it: (_features(b) for b in it), _FEATURES))
-    parts = min(MAX_PARTS, max(4, -(-5 * both.count() // PART_ROWS)))
+    # names are taken apart once: crowded names, the sample of the sort keys and the stream read what this wrote
+    features = cut(both.mapInPandas(lambda it: (_features(b) for b in it), _FEATURES))
+    rows = _stream(features)
+    parts = min(MAX_PARTS, max(4, -(-5 * features.count() // PART_ROWS)))
     # entities before records of the same key, and the id last, so that a key that many rows share is split as well
     order = ["way", "key", F.expr("not entity"), "id"]
     ranged = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("pid", F.spark_partition_id())
