@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from airloom.operators import history, nearby, references, rejects, snapshot_diff
-from airloom.tables import read
+from airloom.session import cut
+from airloom.tables import read, second
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -23,6 +24,25 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return history.airport_history(read(spark, d, "airport_updates"), read(spark, d, "raw_source_snapshots"))
 
 
+def p3_loaded(spark: SparkSession, d: str) -> DataFrame:
+    """The same history from two loads: what snapshots before June 2025 say, then all that came later."""
+    u, s = read(spark, d, "airport_updates"), read(spark, d, "raw_source_snapshots")
+    early = s.filter(F.col("retrieved_at") < F.lit("2025-06-01").cast("timestamp_ntz")).select(F.trim("snapshot_id").alias("__e")).distinct()
+    mine = F.trim("source_snapshot_id") == F.col("__e")
+    first, later = u.join(F.broadcast(early), mine, "left_semi"), u.join(F.broadcast(early), mine, "left_anti")
+    one, split = history.load(None, None, first, s, 1)
+    one = {k: cut(v) for k, v in one.items()}
+    two, _ = history.load(one, first, later, s, 2, split)
+    v = history.stored_versions({k: one[k].unionByName(two[k]) for k in one})
+    return v.select("airport_id", second("valid_from").alias("valid_from"), F.coalesce(second("valid_until"), F.lit("open")).alias("valid_until"))
+
+
+def p3_hub(spark: SparkSession, d: str) -> DataFrame:
+    """When each airport was first seen."""
+    v = history.build_vault(read(spark, d, "airport_updates"), read(spark, d, "raw_source_snapshots"))
+    return v.hub().select("airport_id", second("first_seen").alias("first_seen"))
+
+
 def _orphans(spark: SparkSession, d: str) -> DataFrame:
     refs = references.navigation_references(
         read(spark, d, "chart_associations"), read(spark, d, "ourairports_runways"), read(spark, d, "airway_segments")
@@ -57,7 +77,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return nearby.near_pairs(p, 2.0).select(F.col("id_a").alias("navaid_id_a"), F.col("id_b").alias("navaid_id_b"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p3_found, p5_found, p5_report, p6_found, p6_clean, p7_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p3_found, p3_loaded, p3_hub, p5_found, p5_report, p6_found, p6_clean, p7_found)}
 
 _PLAIN = "nullif(trim(regexp_replace(lower({0}), '[\\s\\p{{Z}}]+', ' ', 'g')), '')"
 _KEY = "nullif(upper(regexp_replace(cast({0} as varchar), '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g')), '')"
@@ -158,3 +178,6 @@ with p as (select distinct id, latitude_deg lat, longitude_deg lon from ourairpo
 select distinct a.id navaid_id_a, b.id navaid_id_b from p a join p b on a.id < b.id and abs(a.lat - b.lat) < 0.019
 where 2 * 6371.0088 * asin(sqrt(least(1, pow(sin(radians(a.lat - b.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(a.lon - b.lon) / 2), 2)))) <= 2""",
 }
+
+SQL["p3_loaded"] = SQL["p3_found"]
+SQL["p3_hub"] = "select airport_id, strftime(min(valid_from), '%Y-%m-%d %H:%M:%S') first_seen from airport_updates where valid_until is null or valid_until > valid_from group by 1"

@@ -142,6 +142,29 @@ def test_vault_satellites(spark):
     assert v.split["fast"] == ["elevation_ft"] and v.satellite("fast").count() == 3 and v.satellite("slow").count() == 1 and v.hub().count() == 1
 
 
+def test_history_loaded_in_parts(spark):
+    """Loads in any order end in the history of all updates; what is stored never changes, and again appends nothing."""
+    rnd = random.Random(12)
+    rows = [upd(i, f"k{rnd.randrange(20)}", rnd.randrange(60), rnd.choice([None, None, rnd.randrange(80)]), rnd.choice(["N", "M"]), rnd.choice([1.0, 2.0]), rnd.random() < 0.1, rnd.choice(["s1", "s2"])) for i in range(300)]
+    snaps = spark.createDataFrame([("s1", day(1)), ("s2", day(2))], SNAP)
+    rnd.shuffle(rows)
+    parts = [rows[:120], rows[120:125], rows[125:]]
+    stored, split, log = None, None, None
+    for n, part in enumerate(parts, 1):
+        new = spark.createDataFrame(part, UPD)
+        got, split = history.load(stored, log, new, snaps, n, split)
+        got = {k: history.cut(v) for k, v in got.items()}
+        if n == 2:
+            touched = {r[1] for r in part}
+            assert {r["airport_id"] for v in got.values() for r in v.collect()} <= touched
+        stored = got if stored is None else {k: stored[k].unionByName(got[k]) for k in got}
+        log = new if log is None else log.unionByName(new)
+        have = {(r["airport_id"], fmt(None) if r["valid_from"] is None else r["valid_from"].strftime("%Y-%m-%d %H:%M:%S"), "open" if r["valid_until"] is None else r["valid_until"].strftime("%Y-%m-%d %H:%M:%S")) for r in history.stored_versions(stored).collect()}
+        assert have == brute_history([r for p in parts[:n] for r in p], {"s1": day(1), "s2": day(2)})
+    again, _ = history.load(stored, log, spark.createDataFrame(parts[1], UPD), snaps, 9, split)
+    assert all(v.count() == 0 for v in again.values())
+
+
 def test_history_empty(spark):
     assert history.airport_history(spark.createDataFrame([], UPD), spark.createDataFrame([], SNAP)).count() == 0
 
