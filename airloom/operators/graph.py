@@ -11,9 +11,6 @@ from pyspark.sql import functions as F
 
 from airloom.session import cut
 
-MAX_ROUNDS = 60
-
-
 def edges(legs: DataFrame) -> DataFrame:
     """Directed edges of legs (start, end, direction): F forward only, B backward only, anything else both ways."""
     fwd = F.struct(F.col("start").alias("src"), F.col("end").alias("dst"))
@@ -53,17 +50,14 @@ def components(e: DataFrame) -> DataFrame:
     links = e.select("src", "dst").unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).filter("src <> dst").distinct()
     links = cut(links)
     labels = cut(e.select(F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("label", F.col("node")))
-    for _ in range(MAX_ROUNDS):
+    moved = 1
+    while moved:  # labels only fall, so this ends
         seen = links.join(labels, links.dst == labels.node).groupBy("src").agg(F.min("label").alias("near"))
         step = labels.join(seen, labels.node == seen.src, "left").select("node", F.least("label", F.coalesce("near", "label")).alias("label"), F.col("label").alias("was"))
         up = step.select(F.col("node").alias("__n"), F.col("label").alias("__l"))
         step = cut(step.join(up, step.label == up["__n"], "left").select("node", F.least("label", F.coalesce("__l", "label")).alias("label"), "was"))
         moved = step.filter("label <> was").limit(1).count()
         labels = step.select("node", "label")
-        if not moved:
-            break
-    else:
-        raise RuntimeError("components did not settle")
     return labels.withColumnRenamed("label", "component")
 
 
@@ -83,14 +77,36 @@ def bfs(e: DataFrame, origins: list, hops: int) -> DataFrame:
     return seen
 
 
+def relaxed(e: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``shortest`` without a limit on the graph: labels (origin, node) spread along the edges until none improves.
+
+    A round joins only the labels that the round before improved; each is cut into the shared checkpoint folder. Of equal
+    costs the path that comes first in order of its nodes holds.
+    """
+    links = cut(e.filter("src is not null and dst is not null and src <> dst").groupBy("src", "dst").agg(F.min("cost").alias("cost")))
+    start = pairs.select("origin").distinct()
+    labels = front = cut(start.select("origin", F.col("origin").alias("node"), F.lit(0.0).alias("cost"), F.array(F.col("origin").cast("string")).alias("path")))
+    while not front.isEmpty():
+        step = front.alias("f").join(links.alias("l"), F.col("f.node") == F.col("l.src")).select(
+            "f.origin", F.col("l.dst").alias("node"), (F.col("f.cost") + F.col("l.cost")).alias("cost"), F.concat("f.path", F.array(F.col("l.dst").cast("string"))).alias("path")
+        )
+        best = step.groupBy("origin", "node").agg(F.min(F.struct("cost", "path")).alias("n"))
+        met = labels.groupBy("origin", "node").agg(F.min(F.struct("cost", "path")).alias("o"))
+        both = cut(met.join(best, ["origin", "node"], "full_outer").select("origin", "node", F.least("o", "n").alias("v"), F.coalesce(F.col("o").isNull() | (F.col("n") < F.col("o")), F.lit(False)).alias("better")))
+        labels = both.select("origin", "node", "v.cost", "v.path")
+        front = both.filter("better").select("origin", "node", "v.cost", "v.path")
+    return labels.join(pairs.select("origin", F.col("destination").alias("node")).distinct(), ["origin", "node"]).select("origin", F.col("node").alias("destination"), "cost", "path")
+
+
 def shortest(e: DataFrame, pairs: DataFrame, max_edges: int = 2_000_000) -> DataFrame:
-    """(origin, destination, cost, path) for origin-destination pairs over edges (src, dst, cost).
+    """(origin, destination, cost, path) for origin-destination pairs over edges (src, dst, cost >= 0).
 
-    The graph is a world's airways, far under ``max_edges``; it is counted, and refused beyond. It goes to every worker,
-    the pairs are spread by origin and one search from an origin serves all its destinations. No route: no row.
+    A graph of up to ``max_edges`` edges (counted; a world's airways are far fewer) goes to every worker, the pairs are
+    spread by origin and one search from an origin serves all its destinations. A larger one stays where it is and is
+    searched from all origins at once, see ``relaxed``. No route: no row.
     """
     if e.limit(max_edges + 1).count() > max_edges:
-        raise ValueError(f"more than {max_edges} edges")
+        return relaxed(e, pairs)
     graph = e.groupBy("src", "dst").agg(F.min("cost").alias("cost")).toPandas()
     out: dict = {}
     for s, d, c in graph.itertuples(index=False):

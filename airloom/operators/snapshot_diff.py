@@ -49,6 +49,7 @@ def snapshot_changes(
     exact: list[Column],
     tolerant: dict[str, float],
     row_id: str = "row_id",
+    names: list[str] | None = None,
 ) -> DataFrame:
     """Typed changes (series, source_snapshot_id, record_id, change_kind) between consecutive deliveries.
 
@@ -56,8 +57,11 @@ def snapshot_changes(
     on or where only one is missing. A key delivered twice in one delivery counts once, with its lowest row_id. Rows of
     other snapshots and rows without key are left out. The first delivery of a series has no changes; a delivery without
     any row removes all. Columns of ``rows`` that are not named play no part, so extra ones may be called anything.
+
+    With ``names`` for the exact columns the result also has ``fields``: what differs of a changed record. Each column
+    then crosses the network as a hash of its own in place of the common digest.
     """
-    d1, d2 = digest(*exact)
+    d1, d2 = digest(*exact) if names is None else (F.array(*[F.xxhash64(F.coalesce(c.cast("string"), F.lit("\u0000"))) for c in exact]), F.lit(0))
     tol = list(tolerant)
     slim = rows.select(
         F.trim(F.col("source_snapshot_id")).alias("__snap"),
@@ -77,22 +81,29 @@ def snapshot_changes(
         F.lead("seq").over(w).alias("n"),
     )
     differs = (F.col("v.d1") != F.col("p.v.d1")) | (F.col("v.d2") != F.col("p.v.d2"))
+    which = [F.when(F.get("v.d1", F.lit(i)) != F.get("p.v.d1", F.lit(i)), F.lit(n)) for i, n in enumerate(names or [])]
     for c, by in tolerant.items():
         a, b = F.col(f"v.{c}"), F.col(f"p.v.{c}")
-        differs = differs | (a.isNull() != b.isNull()) | F.coalesce(F.abs(a - b) >= by - by * 1e-5, F.lit(False))
+        moved = (a.isNull() != b.isNull()) | F.coalesce(F.abs(a - b) >= by - by * 1e-5, F.lit(False))
+        differs = differs | moved
+        which.append(F.when(moved, F.lit(c)))
     follows = F.col("p.seq").isNotNull() & (F.col("p.seq") == F.col("seq") - 1)
     here = F.when(follows & differs, "changed").when(~follows & (F.col("seq") > 1), "added")
     gone = F.when((F.col("seq") < F.col("deliveries")) & (F.coalesce("n", F.lit(2**31 - 1)) > F.col("seq") + 1), "removed")
+    none = F.array().cast("array<string>")
+    fields = [F.when(here == "changed", F.array_compact(F.array(*which))).otherwise(none).alias("fields")] if names else []
     events = merged.select(
         "series", "record_id",
-        F.explode(F.array(F.struct(F.col("seq").alias("seq"), here.alias("change_kind")), F.struct((F.col("seq") + 1).alias("seq"), gone.alias("change_kind")))).alias("e"),
+        F.explode(F.array(
+            F.struct(F.col("seq").alias("seq"), here.alias("change_kind"), *fields), F.struct((F.col("seq") + 1).alias("seq"), gone.alias("change_kind"), *([none.alias("fields")] if names else []))
+        )).alias("e"),
     ).select("series", "record_id", "e.*").filter("change_kind is not null")
     named = deliveries.select("series", "seq", "source_snapshot_id")
-    return events.join(small_side(named), ["series", "seq"]).select("series", "source_snapshot_id", "record_id", "change_kind")
+    return events.join(small_side(named), ["series", "seq"]).select("series", "source_snapshot_id", "record_id", "change_kind", *(["fields"] if names else []))
 
 
-def navaid_changes(rows: DataFrame, fetched: DataFrame) -> DataFrame:
-    """snapshot_changes over the fetched navaid datasets."""
+def navaid_changes(rows: DataFrame, fetched: DataFrame, fields: bool = False) -> DataFrame:
+    """snapshot_changes over the fetched navaid datasets, with the names of the changed fields if asked for."""
     texts = ["ident", "name", "navaid_type", "iso_country", "associated_airport"]
     return snapshot_changes(
         rows,
@@ -100,4 +111,5 @@ def navaid_changes(rows: DataFrame, fetched: DataFrame) -> DataFrame:
         F.lower(F.regexp_replace("record_id", r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")),
         [*[plain(c) for c in texts], F.col("frequency_khz"), number(F.col("elevation_ft"))],
         {"latitude_deg": 1e-5, "longitude_deg": 1e-5},
+        names=[*texts, "frequency_khz", "elevation_ft"] if fields else None,
     )

@@ -20,6 +20,12 @@ def p1_counts(spark: SparkSession, d: str) -> DataFrame:
     return p1_found(spark, d).groupBy("source_snapshot_id", "change_kind").agg(F.count("*").alias("records"))
 
 
+def p1_fields(spark: SparkSession, d: str) -> DataFrame:
+    """How often each field changed from delivery to delivery."""
+    out = snapshot_diff.navaid_changes(read(spark, d, "dataset_rows"), read(spark, d, "fetched_datasets"), fields=True)
+    return out.filter("change_kind = 'changed'").select("source_snapshot_id", F.explode("fields").alias("field_name")).groupBy("source_snapshot_id", "field_name").agg(F.count("*").alias("records"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return history.airport_history(read(spark, d, "airport_updates"), read(spark, d, "raw_source_snapshots"))
 
@@ -77,7 +83,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return nearby.near_pairs(p, 2.0).select(F.col("id_a").alias("navaid_id_a"), F.col("id_b").alias("navaid_id_b"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p3_found, p3_loaded, p3_hub, p5_found, p5_report, p6_found, p6_clean, p7_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p1_fields, p3_found, p3_loaded, p3_hub, p5_found, p5_report, p6_found, p6_clean, p7_found)}
 
 _PLAIN = "nullif(trim(regexp_replace(lower({0}), '[\\s\\p{{Z}}]+', ' ', 'g')), '')"
 _KEY = "nullif(upper(regexp_replace(cast({0} as varchar), '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g')), '')"
@@ -181,3 +187,9 @@ where 2 * 6371.0088 * asin(sqrt(least(1, pow(sin(radians(a.lat - b.lat) / 2), 2)
 
 SQL["p3_loaded"] = SQL["p3_found"]
 SQL["p3_hub"] = "select airport_id, strftime(min(valid_from), '%Y-%m-%d %H:%M:%S') first_seen from airport_updates where valid_until is null or valid_until > valid_from group by 1"
+
+_FIELDS = {"ident": "a", "name": "b", "navaid_type": "c", "iso_country": "e", "associated_airport": "f", "frequency_khz": "g", "elevation_ft": "h"}
+SQL["p1_fields"] = _P1 + ", j as (select s.sid, n.*, o.* from one n join one o on o.series = n.series and o.seq = n.seq - 1 and o.k = n.k join seqs s on s.series = n.series and s.seq = n.seq)".replace("n.*, o.*", ", ".join(f"n.{c} n_{c}, o.{c} o_{c}" for c in [*_FIELDS.values(), "lat", "lon"])) + (
+    ", u as (" + " union all ".join(f"select sid, '{name}' field_name from j where n_{c} is distinct from o_{c}" for name, c in _FIELDS.items())
+    + " union all select sid, 'latitude_deg' from j where abs(n_lat - o_lat) >= 0.0000099999 union all select sid, 'longitude_deg' from j where abs(n_lon - o_lon) >= 0.0000099999) select sid source_snapshot_id, field_name, count(*) records from u group by all"
+)

@@ -158,3 +158,19 @@ def test_rules(spark):
     assert tuples(quality.altitude_descriptors(legs), "id", "severity") == {("1", "error"), ("2", "error"), ("3", "warning"), ("4", "error")}
     n = spark.createDataFrame([("1", "NDB", 300), ("2", "NDB", 5), ("3", "WHAT", 5), ("4", "vor/dme", 110_000)], "id string, navaid_type string, frequency_khz int")
     assert tuples(quality.navaid_bands(n), "id") == {("2",), ("3",)}
+
+
+def test_shortest_in_one_graph_and_spread_agree(spark):
+    """The search over a graph that stays where it is finds the costs of the one that every worker holds."""
+    import random
+
+    rnd = random.Random(4)
+    e = spark.createDataFrame([(f"n{rnd.randrange(25)}", f"n{rnd.randrange(25)}", float(rnd.randrange(1, 9))) for _ in range(70)], "src string, dst string, cost double")
+    pairs = spark.createDataFrame([(f"n{i}", f"n{j}") for i in range(0, 25, 6) for j in range(25) if i != j] + [("n1", "none")], "origin string, destination string")
+    a, b = ({(r["origin"], r["destination"]): (r["cost"], list(r["path"])) for r in graph.shortest(e, pairs, n).collect()} for n in (1000, 0))
+    assert a.keys() == b.keys() and all(a[k][0] == b[k][0] for k in a) and len(a) > 20
+    best = {}
+    for r in e.collect():
+        best[(r["src"], r["dst"])] = min(r["cost"], best.get((r["src"], r["dst"]), 1e9))
+    for (o, d), (cost, path) in b.items():
+        assert path[0] == o and path[-1] == d and sum(best[x] for x in zip(path, path[1:])) == cost

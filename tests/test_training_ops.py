@@ -49,6 +49,13 @@ def test_snapshot_changes(spark):
     }
 
 
+def test_snapshot_changes_name_the_fields(spark):
+    fetched = spark.createDataFrame([(f"s{i}", "p", "n", str(i), day(i), "full", day(i)) for i in (1, 2)], FETCHED)
+    rows = spark.createDataFrame([drow(1, "s1", "a"), drow(2, "s2", "a", name="B", lat=2.0, elev=5.0), drow(3, "s1", "b", apt=""), drow(4, "s2", "b"), drow(5, "s1", "c"), drow(6, "s2", "d")], ROWS)
+    got = {(r["source_snapshot_id"], r["record_id"], r["change_kind"], ",".join(r["fields"])) for r in snapshot_diff.navaid_changes(rows, fetched, fields=True).collect()}
+    assert got == {("s2", "a", "changed", "name,elevation_ft,latitude_deg"), ("s2", "c", "removed", ""), ("s2", "d", "added", "")}
+
+
 def test_snapshot_changes_empty(spark):
     assert snapshot_diff.navaid_changes(spark.createDataFrame([], ROWS), spark.createDataFrame([], FETCHED)).count() == 0
 
