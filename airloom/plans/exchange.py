@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from airloom.operators import reconcile
+from airloom.operators import metadata_rules, quality, reconcile
 from airloom.plans.functions import _A, _LEGS, _airports, _degrees_sql, _fixed, procedure_legs
 from airloom.plans.reference import _hav
 from airloom.session import cut
@@ -144,6 +144,62 @@ def reconciled_memberships(spark: SparkSession, d: str) -> DataFrame:
     return reconcile.join_memberships(once, reconcile.memberships(e, "nav"))
 
 
+# --- rules of the metadata tables --------------------------------------------------------------------------------------
+
+_KINDS = ", ".join(f"'{x}'" for x in metadata_rules.REVISION_KINDS)
+_COVER = ", ".join(f"'{x}'" for x in metadata_rules.COVERAGES)
+
+
+@query(f"""with v as (select source_snapshot_id id, revision_kind k, coverage c, content_sha256 h, publication_id pub, valid_from f, airac_cycle cy from fetched_datasets),
+cy as (select airac_cycle id, min(effective_from) eff, max(effective_until) u from raw_source_snapshots where airac_cycle is not null group by 1),
+i as (select distinct 16 rule, 'dataset_versions' table_name, id, 'unknown revision_kind ' || coalesce(k, 'null') message from v where k is null or k not in ({_KINDS})
+ union all select distinct 16, 'dataset_versions', id, 'unknown coverage ' || coalesce(c, 'null') from v where c is null or c not in ({_COVER})
+ union all select distinct 16, 'dataset_versions', id, 'content_sha256 must be 64 hex digits' from v where not coalesce(regexp_full_match(h, '[0-9a-f]{{64}}'), false)
+ union all select distinct 20, 'dataset_versions', pub, 'references unknown cycle' from v where pub is not null and cy is not null and cy not in (select id from cy)
+ union all select distinct 20, 'dataset_versions', pub, 'baseline does not start with its cycle' from v join cy on v.cy = cy.id where pub is not null and k = 'Baseline' and f <> eff
+ union all select distinct 20, 'dataset_versions', pub, 'correction precedes its cycle' from v join cy on v.cy = cy.id where pub is not null and k = 'Correction' and f < eff
+ union all select distinct 14, 'cycles', id, 'effective_until not strictly after effective_from' from cy where u <= eff
+ union all select distinct 31, 'ils_associations', airport_ident || '/' || le_ident, 'localizer bearing out of range' from ourairports_runways where airport_ident is not null and not (le_heading_degt between 0 and 360)
+ union all select distinct 3, 'airports', id::varchar, 'coordinates out of range' from ourairports_airports where latitude_deg < -90 or latitude_deg > 90 or longitude_deg < -180 or longitude_deg > 180)
+select rule, table_name, message, count(*) n from i group by all""")
+def validation_metadata(spark: SparkSession, d: str) -> DataFrame:
+    """V1: rules 3, 14, 16, 20 and the course of 31, on deliveries, cycles and localizers."""
+    v = read(spark, d, "fetched_datasets").withColumnRenamed("source_snapshot_id", "id")
+    cycles = read(spark, d, "raw_source_snapshots").filter("airac_cycle is not null").groupBy(F.col("airac_cycle").alias("id")).agg(F.min("effective_from").alias("effective_from"), F.max("effective_until").alias("effective_until"))
+    r = read(spark, d, "ourairports_runways").filter("airport_ident is not null")
+    course = quality._issue(r.filter(~F.col("le_heading_degt").between(0, 360)), 31, "error", "ils_associations", "localizer bearing out of range", F.concat_ws("/", "airport_ident", "le_ident"))
+    all_ = quality.report([
+        metadata_rules.dataset_versions(v), metadata_rules.publication_dates(v, cycles), quality.cycle_windows(cycles.withColumnRenamed("id", "cycle")), quality.bad_coordinates(read(spark, d, "ourairports_airports"), "airports"), course,
+    ])
+    return all_.groupBy("rule", "table_name", "message").agg(F.count("*").alias("n"))
+
+
+@query(_LEGS + """, i as (select 'unknown altitude descriptor' message, i from l where ds <> '' and ds not in ('+', '-', 'B') union all select 'altitude band requires both altitudes', i from l where ds = 'B' and (a1 is null or a2 is null)
+ union all select 'altitude 2 set without altitude 1', i from l where a1 is null and a2 is not null) select message, count(*) n from i group by 1""")
+def validation_altitudes(spark: SparkSession, d: str) -> DataFrame:
+    """V1: rule 8 on the altitude descriptors of procedure legs."""
+    legs = procedure_legs(spark, d).withColumn("id", F.col("segment_id"))
+    return quality.altitude_descriptors(legs).groupBy("message").agg(F.count("*").alias("n"))
+
+
+@query(f"""with {_N}, q as (select *, {_hav('ra.lat', 'ra.lon', 'rb.lat', 'rb.lon')} nm from p),
+m as (select distinct 'nav:' || left(sha256("key"), 16) cid, id from (select ra.id id, "key" from q where alone and nm <= 30 union select rb.id, "key" from q where alone and nm <= 30)),
+i as (select 24 rule, 'member without namespace' message, id from m where not contains(id, ':') union all select 26, 'one source with several canonicals', id from (select id from m group by 1 having count(*) > 1))
+select rule, message, count(distinct id) n from i group by 1, 2""")
+def validation_memberships(spark: SparkSession, d: str) -> DataFrame:
+    """V1: rules 24 to 26, 28 and 29 on the memberships that reconciliation finds."""
+    e = _entities(spark, d)
+    p = cut(reconcile.provider_pairs(e, []).filter("outcome in ('exact', 'probable')"))
+    ends = F.array(F.col("id_a"), F.col("id_b"))
+    from airloom.functions.text import canonical_id
+
+    t = lambda v: F.lit(v).cast("timestamp_ntz")
+    m = p.select(canonical_id("nav", F.col("key")).alias("canonical_id"), F.lit("navaid").alias("kind"), F.explode(ends).alias("entity_id")).distinct().withColumns({"valid_from": t("2025-01-01"), "valid_until": t(None)})
+    sources = e.select("id", "region", "lat", "lon").distinct().withColumns({"valid_from": t("2025-01-01"), "valid_until": t(None)})
+    found = metadata_rules.memberships(m, m.select("canonical_id", "kind").distinct(), sources)
+    return found.groupBy("rule", "message").agg(F.count_distinct("id").alias("n"))
+
+
 # --- exports ----------------------------------------------------------------------------------------------------------
 
 

@@ -241,16 +241,16 @@ def route_remaining_distance(spark: SparkSession, d: str) -> DataFrame:
     return remaining(legs, ["route"], ["sequence_number", "segment_id"]).select("segment_id", F.round("remaining_nm", 4).alias("remaining_nm"))
 
 
-@query("""with s as (select distinct on (segment_id) segment_id, route_ident, sequence_number, nullif(upper(trim(coalesce(start_ident, ''))), '') a, nullif(upper(trim(coalesce(end_ident, ''))), '') b from airway_segments order by segment_id, upper(trim(coalesce(start_ident, ''))), upper(trim(coalesce(end_ident, '')))),
+@query("""with s as (select distinct on (segment_id) segment_id, route_ident, sequence_number, nullif(upper(trim(coalesce(start_ident, ''))), '') a, nullif(upper(trim(coalesce(end_ident, ''))), '') b, level_code from airway_segments order by segment_id, upper(trim(coalesce(start_ident, ''))), upper(trim(coalesce(end_ident, '')))),
 p as (select *, lag(b) over (partition by route_ident order by sequence_number, segment_id) pb from s)
-select segment_id, route_ident, pb previous_end, a "start" from p where a is not null and pb is not null and a <> pb and segment_id % 10 > 0""")
+select segment_id, route_ident, pb previous_end, a "start" from p where a is not null and pb is not null and a <> pb and level_code <> 'H'""")
 def route_discontinuities(spark: SparkSession, d: str) -> DataFrame:
-    """Legs that do not begin where the one before ended; blank fixes and connectors (every tenth leg) are left out."""
+    """Legs that do not begin where the one before ended; blank fixes and connectors (here the legs of high level) are left out."""
     from airloom.operators.procedures import discontinuities
 
     clean = lambda c: F.nullif(F.upper(F.trim(F.coalesce(c, F.lit("")))), F.lit(""))
-    s = read(spark, d, "airway_segments").groupBy("segment_id").agg(F.min(F.struct(F.upper(F.trim(F.coalesce("start_ident", F.lit("")))).alias("a"), F.upper(F.trim(F.coalesce("end_ident", F.lit("")))).alias("b"), "route_ident", "sequence_number")).alias("r"))
-    s = s.select("segment_id", F.col("r.route_ident").alias("route_ident"), F.col("r.sequence_number").alias("sequence_number"), clean(F.col("r.a")).alias("start"), clean(F.col("r.b")).alias("end"), (F.col("segment_id") % 10 == 0).alias("connector"))
+    s = read(spark, d, "airway_segments").groupBy("segment_id").agg(F.min(F.struct(F.upper(F.trim(F.coalesce("start_ident", F.lit("")))).alias("a"), F.upper(F.trim(F.coalesce("end_ident", F.lit("")))).alias("b"), "route_ident", "sequence_number", "level_code")).alias("r"))
+    s = s.select("segment_id", F.col("r.route_ident").alias("route_ident"), F.col("r.sequence_number").alias("sequence_number"), clean(F.col("r.a")).alias("start"), clean(F.col("r.b")).alias("end"), (F.col("r.level_code") == "H").alias("connector"))
     return discontinuities(s, ["route_ident"], ["sequence_number", "segment_id"]).select("segment_id", "route_ident", "previous_end", "start")
 
 
@@ -287,10 +287,11 @@ def _table(spark: SparkSession, d: str) -> DataFrame:
     return u.select("id", "valid_from", "r.*", F.lead("valid_from").over(Window.partitionBy("id").orderBy("valid_from")).alias("valid_until"))
 
 
-@query(f"with {_U}, gone as (select distinct airport_id id, valid_from from airport_updates where not withdrawn and update_id % 3 = 0 and valid_from > timestamp '{NOW}') select id, valid_from from t where (id, valid_from) not in (select id, valid_from from gone)")
+@query(f"with {_U}, gone as (select distinct airport_id id, valid_from from airport_updates where not withdrawn and valid_from > timestamp '{NOW}' and source_snapshot_id in (select snapshot_id from raw_source_snapshots where retrieved_at >= timestamp '{NOW}')) select id, valid_from from t where (id, valid_from) not in (select id, valid_from from gone)")
 def future_corrections_replaced(spark: SparkSession, d: str) -> DataFrame:
-    """T5: a correction of a revision that has not begun takes its place; what has begun stays."""
-    c = read(spark, d, "airport_updates").filter("not withdrawn and update_id % 3 = 0").select(F.col("airport_id").alias("id"), "valid_from")
+    """T5: what snapshots retrieved later say of a revision that has not begun takes its place; what has begun stays."""
+    late = read(spark, d, "raw_source_snapshots").filter(F.col("retrieved_at") >= F.lit(NOW).cast("timestamp_ntz")).select(F.col("snapshot_id").alias("source_snapshot_id")).distinct()
+    c = read(spark, d, "airport_updates").filter("not withdrawn").join(late, "source_snapshot_id", "left_semi").select(F.col("airport_id").alias("id"), "valid_from")
     return temporal.replace_future(_table(spark, d), c, NOW).select("id", "valid_from")
 
 

@@ -125,14 +125,15 @@ def chart_normalize(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""with r as (select distinct id, airport_ident, le_ident, he_ident, le_heading_degt h from ourairports_runways where le_heading_degt is not null),
-i as (select distinct airport_ident, le_ident runway, (id % 50)::double off, le_heading_degt b, id ils_id from ourairports_runways where le_heading_degt is not null and id % 3 = 0),
+i as (select distinct on (airport_ident, le_ident) airport_ident, le_ident runway, (id % 50)::double off, le_heading_degt b, id ils_id from ourairports_runways where le_heading_degt is not null order by airport_ident, le_ident, id, le_heading_degt),
 j as (select r.id, i.ils_id, abs(((((i.b + i.off) - r.h + 540) % 360) + 360) % 360 - 180) d from r join i on i.airport_ident = r.airport_ident and i.runway = r.le_ident
  union all select r.id, i.ils_id, abs(((((i.b + i.off) - ((r.h + 180) % 360) + 540) % 360) + 360) % 360 - 180) from r join i on i.airport_ident = r.airport_ident and i.runway = r.he_ident)
 select id, ils_id, case when round(d, 6) < 5 then 'ALIGNED' when round(d, 6) <= 30 then 'OFFSET' else 'SUSPICIOUS' end "class" from j""")
 def runway_ils(spark: SparkSession, d: str) -> DataFrame:
-    """Localizers against runway ends by course."""
+    """Localizers against runway ends by course. There is no table of them: one stands at each airport and designator."""
     r = read(spark, d, "ourairports_runways").filter("le_heading_degt is not null").select("id", "airport_ident", "le_ident", "he_ident", F.col("le_heading_degt").alias("heading")).distinct()
-    i = r.filter("id % 3 = 0").select("airport_ident", F.col("le_ident").alias("runway"), F.col("id").alias("localizer_ident"), (F.col("heading") + F.col("id") % 50).alias("bearing_deg"))
+    one = r.groupBy("airport_ident", F.col("le_ident").alias("runway")).agg(F.min(F.struct("id", "heading")).alias("m"))
+    i = one.select("airport_ident", "runway", F.col("m.id").alias("localizer_ident"), (F.col("m.heading") + F.col("m.id") % 50).alias("bearing_deg"))
     out = correlate.runway_ils(r, i)
     delta = F.round("delta_deg", 6)
     return out.select("id", F.col("localizer_ident").alias("ils_id"), F.when(delta < 5, "ALIGNED").when(delta <= 30, "OFFSET").otherwise("SUSPICIOUS").alias("class"))

@@ -65,7 +65,7 @@ def _segments(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _ends(spark: SparkSession, d: str) -> DataFrame:
-    """Both ends of every tenth airport's runways, one row per airport and designator."""
+    """Both ends of the runways with a number from 01 to 18 at one end, one row per airport and designator."""
     r = read(spark, d, "ourairports_runways").filter("length_ft between 1 and 99999 and airport_ref is not null").withColumn("apt", F.concat(F.lit("A"), F.lpad((F.col("airport_ref") % 1000).cast("string"), 3, "0")))
     low = F.regexp_extract(F.upper("le_ident"), r"^(0[1-9]|[12]\d|3[0-6])[LRC]?$", 0)
     r = r.withColumn("le", low).filter("le <> ''").groupBy("apt", "le").agg(F.min(F.struct("id", "length_ft", "le_latitude_deg", "le_longitude_deg", "he_latitude_deg", "he_longitude_deg")).alias("r")).select("apt", "le", "r.*")

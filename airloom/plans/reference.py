@@ -173,13 +173,13 @@ def rollback_diff(spark: SparkSession, d: str) -> DataFrame:
     return temporal.rollback_diff(_revisions(spark, d), "1998-01-01 00:00:00", ["k"])
 
 
-@query("""with d as (select id, case when valid_from <= timestamp '2025-05-14 23:59:59.999999' and (valid_until is null or valid_until > timestamp '2025-05-14 23:59:59.999999') then 1 end p,
-  case when valid_from <= timestamp '2025-05-15' and (valid_until is null or valid_until > timestamp '2025-05-15') then 1 end c, elevation_ft e, valid_from f from ourairports_airports),
-g as (select id, max(p) p, max(c) c, arg_max(e, f) filter (p = 1) pe, arg_max(e, f) filter (c = 1) ce from d group by 1)
-select id, case when p is null then 'added' when c is null then 'removed' else 'changed' end change from g where (p is null) <> (c is null) or (p = 1 and c = 1 and pe is distinct from ce)""")
+@query("""with r as (select id, {e: elevation_ft, n: name, t: airport_type, m: municipality, a: latitude_deg, o: longitude_deg} v, valid_from f, coalesce(valid_until, timestamp '9999-12-31') u from ourairports_airports),
+p as (select id, arg_max(v, f) v from r where f < timestamp '2025-05-15' and u >= timestamp '2025-05-15' group by 1), c as (select id, arg_max(v, f) v from r where f <= timestamp '2025-05-15' and u > timestamp '2025-05-15' group by 1)
+select coalesce(p.id, c.id) id, case when p.id is null then 'added' when c.id is null then 'removed' else 'changed' end change from p full join c on p.id = c.id where p.v is distinct from c.v""")
 def cycle_change_airports(spark: SparkSession, d: str) -> DataFrame:
     """What cycle 2505 changed in the airport table."""
-    return temporal.rollback_diff(read(spark, d, "ourairports_airports"), "2025-05-15 00:00:00", ["elevation_ft"])
+    payload = ["elevation_ft", "name", "airport_type", "municipality", "latitude_deg", "longitude_deg"]
+    return temporal.rollback_diff(read(spark, d, "ourairports_airports").distinct(), "2025-05-15 00:00:00", payload)
 
 
 @query("""select o_orderkey, cast(floor((date_diff('day', date '2020-01-30', o_orderdate::date)) / 28.0) as bigint) cycle_index,
@@ -367,24 +367,6 @@ def reconcile_stats(spark: SparkSession, d: str) -> DataFrame:
     return reconcile.bucket_pairs(*_sides(spark, d)).groupBy("outcome").agg(F.count("*").alias("n"))
 
 
-@query(f"""with n as (select distinct id, case when navaid_type = 'NDB' then 'ndb' else 'vor' end || ':' || left(upper(trim(ident)), 1) k, latitude_deg lat, longitude_deg lon, id % 2 side from ourairports_navaids where latitude_deg is not null and longitude_deg is not null and not (latitude_deg = 0 and longitude_deg = 0)),
-p as (select a.id id_a, b.id id_b, round({_hav('a.lat', 'a.lon', 'b.lat', 'b.lon')}, 6) distance_nm from n a join n b on a.k = b.k and a.side = 0 and b.side = 1)
-select id_a, id_b, distance_nm, sum(case when distance_nm <= 30 then 1 else 0 end) over (partition by id_a)::bigint partners_a, sum(case when distance_nm <= 30 then 1 else 0 end) over (partition by id_b)::bigint partners_b
-from (select distinct * from p where distance_nm <= 200)""")
-def navaid_fallback(spark: SparkSession, d: str) -> DataFrame:
-    """Region-less candidates and how many partners each side has within 30 NM.
-
-    Candidates beyond 200 NM never count, so they are cut by a latitude cell before any pair is made.
-    """
-    n = read(spark, d, "ourairports_navaids").filter("latitude_deg is not null and longitude_deg is not null and not (latitude_deg = 0 and longitude_deg = 0)")
-    k = F.concat_ws(":", text.navaid_class(F.col("navaid_type")), F.substring(F.upper(F.trim("ident")), 1, 1))
-    n = n.select("id", k.alias("k"), F.col("latitude_deg").alias("lat"), F.col("longitude_deg").alias("lon"), F.floor(F.col("latitude_deg") / 3.4).alias("cell")).distinct()
-    a = n.filter("id % 2 = 0").select("k", F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)).alias("cell"), F.col("id").alias("id_a"), F.col("lat").alias("la"), F.col("lon").alias("oa"))
-    b = n.filter("id % 2 = 1").select("k", "cell", F.col("id").alias("id_b"), F.col("lat").alias("lb"), F.col("lon").alias("ob"))
-    p = a.join(b, ["k", "cell"]).withColumn("distance_nm", F.round(geo.haversine_nm(F.col("la"), F.col("oa"), F.col("lb"), F.col("ob")), 6)).filter("distance_nm <= 200").select("id_a", "id_b", "distance_nm").distinct()
-    return reconcile.partner_counts(p)
-
-
 @query(f"""with f as (select lower(provider_name) p, source_snapshot_id, row_number() over (partition by lower(provider_name) order by retrieved_at desc, source_snapshot_id desc) nth from fetched_datasets where lower(coverage) <> 'partial'),
 r as (select f.p, lower(trim(record_id)) id, arg_min({{t: navaid_type, i: ident, g: iso_country, lat: latitude_deg, lon: longitude_deg}}, row_id) v from dataset_rows join f using (source_snapshot_id) where nth = 1 group by 1, 2),
 n as (select p, id, case when v.t = 'NDB' then 'ndb' else 'vor' end || ':' || upper(trim(v.i)) k, coalesce(upper(trim(v.g)), '') g, v.lat lat, v.lon lon from r where v.lat is not null and v.lon is not null and not (v.lat = 0 and v.lon = 0)),
@@ -436,23 +418,23 @@ def authority_resolve(spark: SparkSession, d: str) -> DataFrame:
     return reconcile.authority(n.unionByName(c).unionByName(s))
 
 
-@query("""with s as (select source_snapshot_id sid, row_number() over (order by retrieved_at, source_snapshot_id) n from fetched_datasets where lower(provider_name) = 'tarnwick_csv' and lower(coverage) <> 'partial'),
-x as (select lower(trim(record_id)) k, arg_min({f: frequency_khz, e: elevation_ft}, row_id) v from dataset_rows where source_snapshot_id = (select sid from s where n = 1) group by 1),
-y as (select lower(trim(record_id)) k, arg_min({f: frequency_khz, e: elevation_ft}, row_id) v from dataset_rows where source_snapshot_id = (select sid from s where n = (select max(n) from s)) group by 1)
-select coalesce(x.k, y.k) record_id, case when y.k is null then 'only_a' when x.k is null then 'only_b' when x.v.f is distinct from y.v.f or x.v.e is distinct from y.v.e then 'differs' else 'common' end "class",
-case when x.k is null or y.k is null then '' else concat_ws(',', case when x.v.f is distinct from y.v.f then 'frequency_khz' end, case when x.v.e is distinct from y.v.e then 'elevation_ft' end) end fields from x full join y on x.k = y.k""")
+@query("""with s as (select lower(trim(provider_name)) p, min({r: retrieved_at, s: source_snapshot_id}).s a, max({r: retrieved_at, s: source_snapshot_id}).s b from fetched_datasets where lower(coverage) <> 'partial' group by 1),
+x as (select p, lower(trim(record_id)) k, arg_min({f: frequency_khz, e: elevation_ft}, row_id) v from dataset_rows join s on source_snapshot_id = s.a group by 1, 2),
+y as (select p, lower(trim(record_id)) k, arg_min({f: frequency_khz, e: elevation_ft}, row_id) v from dataset_rows join s on source_snapshot_id = s.b group by 1, 2)
+select coalesce(x.p, y.p) provider, coalesce(x.k, y.k) record_id, case when y.k is null then 'only_a' when x.k is null then 'only_b' when x.v.f is distinct from y.v.f or x.v.e is distinct from y.v.e then 'differs' else 'common' end "class",
+case when x.k is null or y.k is null then '' else concat_ws(',', case when x.v.f is distinct from y.v.f then 'frequency_khz' end, case when x.v.e is distinct from y.v.e then 'elevation_ft' end) end fields from x full join y on x.p = y.p and x.k = y.k""")
 def package_diff(spark: SparkSession, d: str) -> DataFrame:
-    """Two packages (the first and last delivery of a provider) compared field by field."""
-    f = read(spark, d, "fetched_datasets").filter("lower(provider_name) = 'tarnwick_csv' and lower(coverage) <> 'partial'")
+    """Two packages of each provider (its first and its last delivery that is not partial) field by field."""
+    f = read(spark, d, "fetched_datasets").filter("lower(coverage) <> 'partial'").groupBy(F.lower(F.trim("provider_name")).alias("provider"))
     ends = f.agg(F.min(F.struct("retrieved_at", "source_snapshot_id")).alias("a"), F.max(F.struct("retrieved_at", "source_snapshot_id")).alias("b"))
     rows = read(spark, d, "dataset_rows").select("source_snapshot_id", F.lower(F.trim("record_id")).alias("record_id"), "row_id", "frequency_khz", "elevation_ft")
 
     def pack(side: str) -> DataFrame:
-        sid = ends.select(F.col(f"{side}.source_snapshot_id"))
-        one = rows.join(F.broadcast(sid), "source_snapshot_id")
-        return one.groupBy("record_id").agg(F.min_by(F.struct("frequency_khz", "elevation_ft"), "row_id").alias("v")).select("record_id", "v.*")
+        sid = ends.select("provider", F.col(f"{side}.source_snapshot_id"))
+        one = rows.join(small_side(sid), "source_snapshot_id")
+        return one.groupBy("provider", "record_id").agg(F.min_by(F.struct("frequency_khz", "elevation_ft"), "row_id").alias("v")).select("provider", "record_id", "v.*")
 
-    return reconcile.package_diff(pack("a"), pack("b"), ["record_id"], ["frequency_khz", "elevation_ft"])
+    return reconcile.package_diff(pack("a"), pack("b"), ["provider", "record_id"], ["frequency_khz", "elevation_ft"])
 
 
 @query("""with u as (select airport_icao k, title, 1 p from (select distinct on (airport_icao) airport_icao, title from chart_documents order by airport_icao, id, title)
@@ -753,10 +735,10 @@ def chart_totals(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "chart_documents").agg(F.count_distinct("id").alias("charts"), F.count_distinct("airport_icao").alias("airports"), F.count_distinct("provider_id").alias("providers"))
 
 
-@query("select id, chart_type, title from (select distinct id, airport_icao, chart_type, title from chart_documents) where starts_with(airport_icao, 'Q') order by chart_type, title, id")
+@query("select distinct airport_icao, id, chart_type, title, procedure_name from chart_documents")
 def chart_catalog(spark: SparkSession, d: str) -> DataFrame:
-    """P14, SNK19: charts of some airports in order."""
-    return read(spark, d, "chart_documents").filter(F.col("airport_icao").startswith("Q")).select("id", "chart_type", "title").distinct().orderBy("chart_type", "title", "id")
+    """The chart catalog in order of airport, type and title."""
+    return read(spark, d, "chart_documents").select("airport_icao", "id", "chart_type", "title", "procedure_name").distinct().orderBy("airport_icao", "chart_type", "title", "id")
 
 
 @query("select sha256(string_agg(n, '|' order by n)) fingerprint from (select 'airports=' || count(distinct id) n from ourairports_airports union all select 'navaids=' || count(distinct id) from ourairports_navaids union all select 'runways=' || count(distinct id) from ourairports_runways)")
