@@ -52,6 +52,8 @@ LETTERS = str.maketrans({"ø": "o", "Ø": "O", "æ": "ae", "Æ": "AE", "œ": "oe
 
 
 def fold(s: str) -> str:
+    if s.isascii():
+        return s.lower()
     t = unicodedata.normalize("NFKD", s.translate(LETTERS))
     return "".join(c for c in t if not unicodedata.combining(c)).lower()
 
@@ -68,6 +70,10 @@ def distance(a: str, b: str, most: int) -> int:
         return most + 1
     if not a or not b:
         return min(len(a) + len(b), most + 1)
+    # an edit does away with one letter that the other word lacks
+    x, y = set(a), set(b)
+    if len(x - y) > most or len(y - x) > most:
+        return most + 1
     at: dict[str, int] = {}
     for i, x in enumerate(a):
         at[x] = at.get(x, 0) | 1 << i
@@ -155,11 +161,11 @@ def _stream(rows: DataFrame) -> DataFrame:
     rows = rows.withColumn("__first", first).join(crowd, "__first", "left").drop("__first")
     far, near = F.greatest(F.abs("lat"), F.abs("lon")), F.least(F.abs("lat"), F.abs("lon"))
     there = ~F.isnan("lat")
-    pad = lambda c: F.format_string("%012.6f", c)
+    pad = lambda c, digits=6: F.lpad(c.cast(f"decimal(20,{digits})").cast("string"), 12, "0")
     tie = F.when(there, F.concat_ws("|", "country", pad(far), pad(near))).otherwise(F.col("country"))
 
     def strip(shift: float):
-        return F.when(there, F.concat_ws("|", F.format_string("%06d", F.floor((far + shift) / 0.2).cast("long")), pad(near)))
+        return F.when(there, F.concat_ws("|", F.lpad(F.floor((far + shift) / 0.2).cast("string"), 6, "0"), pad(near)))
 
     keys = [
         F.concat_ws("|", first, tie), F.concat_ws("|", F.reverse(first), tie), F.when(F.col("ident") != "", F.concat_ws("|", "ident", tie)), strip(0.0), strip(0.1),
@@ -168,7 +174,7 @@ def _stream(rows: DataFrame) -> DataFrame:
     # what the record says may be feet or metres, so it stands at each height that it can mean
     for times in (1.0, 3.28084, 1 / 3.28084):
         mine = F.col("__crowd") & ~F.isnan("elevation") & F.col("elevation").between(-2000, 30_000) & (F.lit(times == 1.0) | ~F.col("entity"))
-        feet = F.format_string("%012.3f", F.col("elevation") * times + 10_000)
+        feet = pad(F.col("elevation") * times + 10_000, 3)
         keys += [F.when(mine, F.concat_ws("|", first, feet, tie)), F.when(mine & (F.col("country") != ""), F.concat_ws("|", first, "country", feet, tie))]
     keys += [F.when(F.col("__crowd") & there, F.concat_ws("|", first, strip(shift))) for shift in (0.0, 0.1)]
     ways = [0, 1, 2, 3, 4, 5, 6, 5, 6, 5, 6, 7, 8]
