@@ -594,7 +594,8 @@ def route_shortest_path(spark: SparkSession, d: str) -> DataFrame:
     return graph.shortest(placed, ends).select("origin", "destination", F.round("cost", 4).alias("cost"), F.array_join("path", " ").alias("path"))
 
 
-@query(None)
+@query(_EDGE + """, t as (select src from e group by 1 order by count(*) desc, src limit 1),
+w as (with recursive r(node, h) as (select src, 0 from t union select e.dst, r.h + 1 from r join e on e.src = r.node where r.h < 3) select node, min(h) hops from r group by 1) select node, hops from w""")
 def graph_reach(spark: SparkSession, d: str) -> DataFrame:
     """What can be reached in three hops from the most used node."""
     e = _edges(spark, d)
