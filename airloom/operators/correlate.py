@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from airloom.functions.geo import corridor_hits, haversine_nm, planar_segment_nm
+from airloom.functions.geo import NM_RADIUS, corridor_hits, haversine_nm, planar_segment_nm
 from airloom.functions.text import callsign_airport, facility
 from airloom.tables import small_side
 
 GROUND_NM = 5.0
+#: Degrees; height of a cell that pairs airports with aircraft on the ground.
+CELL = 0.1
 
 
 def airborne(groundspeed: Column, altitude: Column) -> Column:
@@ -45,21 +49,43 @@ def route_controllers(controllers: DataFrame, departure: str, arrival: str, enro
     return c.withColumn("rule", rule).filter("rule is not null").orderBy(F.when(F.col("rule") == "departure", 0).when(F.col("rule") == "arrival", 2).otherwise(1), order, "callsign")
 
 
+def _row(lat: Column) -> Column:
+    return F.floor(lat / CELL)
+
+
+def _column(lon: Column, row: Column) -> Column:
+    """The column of a longitude in its row, not yet taken around the globe."""
+    return F.floor(lon * _columns(row) / 360)
+
+
+def _columns(row: Column) -> Column:
+    """Cells around the globe in a row: about ``CELL`` wide at its edge nearer to the pole, one at the pole itself."""
+    r = row.cast("double")
+    edge = F.least(F.greatest(F.abs(r), F.abs(r + 1)) * CELL, F.lit(90.0))
+    return F.greatest(F.floor(F.cos(F.radians(edge)) * (360 / CELL)), F.lit(1))
+
+
 def airport_traffic(pilots: DataFrame, airports: DataFrame) -> DataFrame:
-    """Per airport: flights filed in and out, and aircraft on the ground within 5 NM.
+    """Per airport: flights filed in and out, and aircraft on the ground within 5 NM; airports without an ident fall away.
 
-    Ground aircraft are paired by 0.1 degree cells with their neighbours, so the work follows local density.
+    An airport stands in one cell and a ground aircraft in all that its circle touches, also beyond the antimeridian and
+    around the poles, so the work follows local density. Sizes are estimated as if no cells had been exploded; the hint
+    therefore keeps the join from being a broadcast, and the counts are added up in one aggregation instead of joined.
     """
-    filed = pilots.select(F.explode(F.array(F.struct(F.col("departure").alias("ident"), F.lit("out").alias("way")), F.struct(F.col("arrival").alias("ident"), F.lit("in").alias("way")))).alias("f")).select("f.*")
-    counts = filed.groupBy("ident").agg(F.count_if(F.col("way") == "out").alias("filed_out"), F.count_if(F.col("way") == "in").alias("filed_in"))
-    cell = lambda c: F.floor(c / 0.1)
-    around = F.array(*[F.struct(F.lit(i).alias("dy"), F.lit(j).alias("dx")) for i in (-1, 0, 1) for j in range(-6, 7)])
-    a = airports.select("ident", "lat", "lon", F.explode(around).alias("o")).select("ident", F.col("lat").alias("la"), F.col("lon").alias("lo"), (cell(F.col("lat")) + F.col("o.dy")).alias("cy"), (cell(F.col("lon")) + F.col("o.dx")).alias("cx"))
-    p = pilots.filter(~airborne(F.col("groundspeed"), F.col("altitude"))).select("callsign", "lat", "lon", cell(F.col("lat")).alias("cy"), cell(F.col("lon")).alias("cx"))
-    near = a.join(p, ["cy", "cx"]).filter(haversine_nm(F.col("la"), F.col("lo"), F.col("lat"), F.col("lon")) <= GROUND_NM)
-    ground = near.groupBy("ident").agg(F.count_distinct("callsign").alias("on_ground"))
-    out = airports.select("ident").distinct().join(counts, "ident", "left").join(ground, "ident", "left")
-    return out.select("ident", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("filed_out", "filed_in", "on_ground")])
+    reach = math.degrees(GROUND_NM / NM_RADIUS) + 1e-6
+    lat, lon, row = F.col("lat"), F.col("lon"), F.col("cy")
+    wide = F.when(F.abs(lat) + reach >= 90, 180.0).otherwise(F.degrees(F.asin(math.sin(math.radians(reach)) / F.cos(F.radians(lat)))) + 1e-6)
+    around = F.array_distinct(F.transform(F.sequence(_column(lon - wide, row), _column(lon + wide, row)), lambda x: F.pmod(x, _columns(row))))
+    a = airports.select("ident", F.col("lat").alias("la"), F.col("lon").alias("lo"), _row(lat).alias("cy")).withColumn("cx", F.pmod(_column(F.col("lo"), row), _columns(row)))
+    p = pilots.filter(~airborne(F.col("groundspeed"), F.col("altitude")) & ~F.isnan("lat") & ~F.isnan("lon")).select("callsign", "lat", "lon", F.explode(F.sequence(_row(lat - reach), _row(lat + reach))).alias("cy"))
+    p = p.select("callsign", "lat", "lon", "cy", F.explode(around).alias("cx"))
+    near = a.join(p.hint("merge"), ["cy", "cx"]).filter(haversine_nm(F.col("la"), F.col("lo"), lat, lon) <= GROUND_NM)
+    ground = near.filter("callsign is not null").select("ident", "callsign").distinct()
+
+    filed = pilots.select(F.explode(F.array(F.struct(F.col("departure").alias("ident"), F.lit("filed_out").alias("what")), F.struct(F.col("arrival").alias("ident"), F.lit("filed_in").alias("what")))).alias("f")).select("f.*")
+    rows = filed.unionByName(ground.select("ident", F.lit("on_ground").alias("what"))).unionByName(airports.select("ident", F.lit("airport").alias("what"))).filter("ident is not null")
+    counts = rows.groupBy("ident").agg(*[F.count_if(F.col("what") == c).alias(c) for c in ("filed_out", "filed_in", "on_ground", "airport")])
+    return counts.filter("airport > 0").drop("airport")
 
 
 def runway_ils(runways: DataFrame, ils: DataFrame) -> DataFrame:

@@ -294,6 +294,37 @@ def test_planner(spark, tmp_path):
     assert planner.random_pairs(7, ["A", "B", "C"], 5) == planner.random_pairs(7, ["A", "B", "C"], 5)
 
 
+def test_airport_traffic_near(spark):
+    """Pairs beyond the antimeridian, at the poles and in any cell, against all pairs; nulls, NaN and infinity meet nobody."""
+    rng = np.random.default_rng(7)
+    spots = [(r, t) for c, s in (((0.0, 180.0), 0.2), ((85.0, 20.0), 0.6), ((89.95, 0.0), 180.0), ((-89.95, 0.0), 180.0), ((-60.0, -180.0), 0.3)) for r, t in zip(np.clip(c[0] + rng.uniform(-0.12, 0.12, 40), -90, 90), c[1] + rng.uniform(-s, s, 40))]
+    at = [(float(la), float((lo + 180) % 360 - 180)) for la, lo in spots] + [(90.0, 10.0), (90.0, -170.0), (-90.0, 0.0), (10.0, 180.0), (10.0, -180.0)]
+    ap = [(f"A{i // 2}", *p) for i, p in enumerate(at[::2])] + [(None, 0.0, 180.0), ("NUL", None, 1.0), ("NAN", float("nan"), float("nan")), ("INF", math.inf, math.inf)]
+    pi = [(f"P{i}", "A0" if i % 3 else None, None if i % 2 else "A1", *p, 0, 0) for i, p in enumerate(at[1::2] + at[::4])] + [(None, "A0", "NUL", *at[0], 0, 0), ("PN", "A0", "NO", float("nan"), 0.0, 0, 0), ("PM", None, "NAN", 1.0, float("nan"), 0, 0), ("PL", "A2", "A2", None, None, 0, 0), ("PI", "A2", "INF", -math.inf, math.inf, 0, 0), ("PF", "A2", "A2", *at[0], 41, 0)]
+
+    def nm(a, b):
+        h = math.sin(math.radians(b[0] - a[0]) / 2) ** 2 + math.cos(math.radians(a[0])) * math.cos(math.radians(b[0])) * math.sin(math.radians(b[1] - a[1]) / 2) ** 2
+        return 2 * geo.NM_RADIUS * math.asin(math.sqrt(h))
+
+    whole = lambda p: None not in p and all(map(math.isfinite, p))
+    near = {(i, c) for i, *a in ap for c, _, _, la, lo, speed, _ in pi if whole(a) and whole((la, lo)) and c and speed < 40 and nm(a, (la, lo)) <= 5}
+    want = {(i, sum(p[1] == i for p in pi), sum(p[2] == i for p in pi), sum(n[0] == i for n in near)) for i, *_ in ap if i}
+    pilots = spark.createDataFrame(pi, "callsign string, departure string, arrival string, lat double, lon double, groundspeed int, altitude int")
+    got = [tuple(r) for r in correlate.airport_traffic(pilots, spark.createDataFrame(ap, "ident string, lat double, lon double")).collect()]
+    assert len(near) > 100 and len(got) == len(want) and set(got) == want
+
+
+def test_airport_traffic_is_no_broadcast(spark, tmp_path):
+    """What exploded cells hold is not known to the planner: sides that it takes for small are still not sent to the driver."""
+    r = spark.range(400).select("id", (F.col("id") % 100 - 50.0).alias("lat"), (F.col("id") * 7 % 360 - 180.0).alias("lon"))
+    r.select(F.concat(L("A"), F.col("id").cast("string")).alias("ident"), "lat", "lon").write.parquet(f"{tmp_path}/a")
+    r.select(F.concat(L("P"), F.col("id").cast("string")).alias("callsign"), L("A1").alias("departure"), L("A2").alias("arrival"), "lat", "lon", L(0).alias("groundspeed"), L(0).alias("altitude")).write.parquet(f"{tmp_path}/p")
+    t = correlate.airport_traffic(spark.read.parquet(f"{tmp_path}/p"), spark.read.parquet(f"{tmp_path}/a"))
+    assert t.count() == 400 and t.agg(F.sum("on_ground")).first()[0] >= 400
+    t.collect()
+    assert "Broadcast" not in t._jdf.queryExecution().executedPlan().toString()
+
+
 def test_correlate(spark):
     pilots = spark.createDataFrame([("x", "AAAA", "BBBB", 0.0, 0.01, 0, 0), ("y", "AAAA", "CCCC", 0.0, 0.01, 200, 5000)], "callsign string, departure string, arrival string, lat double, lon double, groundspeed int, altitude int")
     ap = spark.createDataFrame([("AAAA", 0.0, 0.0), ("BBBB", 5.0, 5.0)], "ident string, lat double, lon double")
